@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.references import find_orphans, orphan_report
+from tidewater.operators.units import COMMON, normalise_units
 from tidewater.queries.registry import Registry
 from tidewater.sources.tables import table
 
@@ -50,3 +51,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_report", f"SELECT table_name, strftime(seen, '%Y-%m') AS month, reason, count(*) AS n FROM ({_SQL_ALL}) x GROUP BY ALL")
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(all_orphans(spark, d))
+
+
+def units_of_vessels(spark: SparkSession, d: str) -> DataFrame:
+    return normalise_units(table(spark, d, "vessels"), table(spark, d, "spec_sources"))
+
+
+@query("p3_values")
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    return units_of_vessels(spark, d)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    common = [F.struct(F.lit(f).alias("field"), F.lit(u).alias("unit")) for f, u in COMMON.items()]
+    return units_of_vessels(spark, d).where(~F.struct("field", "unit").isin(*common)).select("vessel_id", "field")
