@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import splitting, tokenizing
+from tidewater.llm import conversations, splitting, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -33,3 +33,39 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents"))
+
+
+_ROLE = "CASE regexp_replace(lower(coalesce(role, '')), '^\\s+|\\s+$', '', 'g') WHEN 'human' THEN 'user' WHEN 'bot' THEN 'assistant' ELSE regexp_replace(lower(coalesce(role, '')), '^\\s+|\\s+$', '', 'g') END"
+_SESSIONS_SQL = f"""
+WITH m AS (SELECT DISTINCT session_id, {_ROLE} AS role, position, content FROM chat_messages WHERE session_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY session_id, role IN ('user', 'assistant') ORDER BY position) AS k,
+        count(*) OVER (PARTITION BY session_id, role IN ('user', 'assistant')) AS n FROM m),
+s AS (SELECT session_id,
+        sum(CASE WHEN role IN ('user', 'assistant') THEN 1 ELSE 0 END) > 0
+        AND bool_and(role IN ('user', 'assistant', 'system'))
+        AND bool_and(content IS NOT NULL AND trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '')
+        AND count(DISTINCT position) = count(*) AND min(position) = 0 AND max(position) = count(*) - 1
+        AND bool_and(role NOT IN ('user', 'assistant') OR role = CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END)
+        AND bool_and(role NOT IN ('user', 'assistant') OR n % 2 = 0) AS whole
+      FROM t GROUP BY session_id),
+i AS (SELECT id AS session_id FROM chat_sessions UNION SELECT session_id FROM chat_messages WHERE session_id IS NOT NULL)
+"""
+
+
+@query("p6_found", _SESSIONS_SQL + "SELECT i.session_id FROM i LEFT JOIN s USING (session_id) WHERE NOT coalesce(s.whole, false)")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = conversations.judge_sessions(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
+    return judged.where("reason is not null").select("session_id")
+
+
+@query(
+    "p6_turns",
+    _SESSIONS_SQL + "SELECT t.session_id, t.k - 1 AS turn, t.role, t.content FROM t JOIN s USING (session_id) WHERE s.whole AND t.role IN ('user', 'assistant')",
+)
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
+
+
+@query("p6_sessions")
+def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.judge_sessions(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
