@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import conversations, splitting, tokenizing
+from tidewater.llm import conversations, packing, splitting, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -69,3 +69,31 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_sessions")
 def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.judge_sessions(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
+
+
+def packed_items(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_items(table(spark, d, "placed_items"), table(spark, d, "cargo_bins"))
+
+
+@query(
+    "p2_found",
+    """
+SELECT DISTINCT i.id AS item_row_id FROM placed_items i JOIN cargo_bins b USING (bin_type)
+WHERE i.weight_kg > b.max_weight_kg OR i.h > b.height
+   OR (i.l IS NOT NULL AND i.w IS NOT NULL AND NOT ((i.l <= b.length AND i.w <= b.width) OR (i.w <= b.length AND i.l <= b.width)))
+""",
+)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.oversized_items(packed_items(spark, d))
+
+
+@query("p2_containers")
+def p2_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packed_items(spark, d)
+
+
+@query("p2_usage")
+def p2_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and mean used share per manifest."""
+    boxes = packed_items(spark, d).groupBy("manifest_id", "container").agg(F.first("fill").alias("fill"), F.count("*").alias("pieces"))
+    return boxes.groupBy("manifest_id").agg(F.count("*").alias("containers"), F.round(F.avg("fill"), 6).alias("mean_fill"), F.sum("pieces").alias("pieces"))
