@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,12 @@ class Registry:
         def add(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = fn
+            @wraps(fn)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return fn(spark, folder)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return fn

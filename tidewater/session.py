@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """A reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewater_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="tidewater-")) / "tidewater.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("tidewater") / p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._tidewater_shipped = True
