@@ -49,6 +49,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions by ``keys`` into a fixed number of tasks, which adaptive execution does not coalesce.
+
+    For Python stages, whose cost per byte is far above what coalescing by size assumes.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
