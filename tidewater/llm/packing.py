@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewater.session import spread
 from tidewater.sources.tables import first_rows
 
 #: Items packed in one task; bounds memory and time of a group.
@@ -295,7 +296,7 @@ def _pack(blocked: DataFrame, name: str) -> DataFrame:
         pdf["container"] = [f"{b}/{name}{x}/{k}" for b, x, k in zip(pdf.bin_type, pdf._block, pdf._k, strict=True)]
         return pdf[[c.split()[0] for c in (_PIECE + ", fill double, container string").split(", ")]]
 
-    return blocked.groupBy("manifest_id", "bin_type", "_block").applyInPandas(run, _PIECE + ", fill double, container string")
+    return spread(blocked, "manifest_id", "bin_type", "_block").groupBy("manifest_id", "bin_type", "_block").applyInPandas(run, _PIECE + ", fill double, container string")
 
 
 def pack_items(items: DataFrame, bins: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.session import spread
+
 LIMIT = 4000
 OVERLAP = 200
 
@@ -131,7 +133,8 @@ def split_oversized(df: DataFrame, key: str = "id", title: str = "title", body:
     count once. A null or blank title becomes ``(part n)`` alone. Characters are
     code points. Other columns play no part.
     """
-    big = df.where(F.col(key).isNotNull() & (F.char_length(body) > limit)).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")).dropDuplicates()
+    big = df.where(F.col(key).isNotNull() & (F.char_length(body) > limit)).select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b"))
+    big = spread(big, "k").dropDuplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
