@@ -27,9 +27,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from tidewater.session import spread
+from tidewater.session import cut_lineage, spread
 from tidewater.sources.tables import first_rows
 
 #: Items packed in one task; bounds memory and time of a group.
@@ -235,6 +234,8 @@ def pack_block(items: list[tuple[int, int, float, float, float, float]], dims: t
 ASSIGNED = "manifest_id long, item_row_id long, part int, parts int, oversized boolean, container string, fill double, l double, w double, h double, weight_kg double"
 _PIECE = "manifest_id long, item_row_id long, part int, parts int, oversized boolean, l double, w double, h double, weight_kg double, length double, width double, height double, max_weight_kg double, bin_type string"
 
+_PACKED = _PIECE + ", fill double, container string, settled boolean"
+
 
 def item_rows(items: DataFrame, bins: DataFrame) -> DataFrame:
     """One row per item id with its container's measures and ``oversized``.
@@ -279,6 +280,7 @@ def _blocked(pieces: DataFrame, salt: int) -> DataFrame:
     n = pieces.groupBy("manifest_id", "bin_type").agg(F.count("*").alias("_n"))
     j = pieces.join(n, ["manifest_id", "bin_type"])
     blocks = F.ceil(F.col("_n") / BLOCK)
+    j = j.withColumn("_blocks", blocks.cast("int"))
     return j.withColumn("_block", F.pmod(F.xxhash64("item_row_id", "part", F.lit(salt)), blocks).cast("int")).drop("_n")
 
 
@@ -293,10 +295,11 @@ def _pack(blocked: DataFrame, name: str) -> DataFrame:
         share = (pdf.l * pdf.w * pdf.h / space).groupby(pdf._k).transform("sum")
         load = (pdf.weight_kg / max(dims[3], 1e-9)).groupby(pdf._k).transform("sum")
         pdf["fill"] = pd.concat([share, load], axis=1).max(axis=1)
+        pdf["settled"] = (pdf.fill >= POOR) | (pdf._blocks == 1)
         pdf["container"] = [f"{b}/{name}{x}/{k}" for b, x, k in zip(pdf.bin_type, pdf._block, pdf._k, strict=True)]
-        return pdf[[c.split()[0] for c in (_PIECE + ", fill double, container string").split(", ")]]
+        return pdf[[c.split()[0] for c in _PACKED.split(", ")]]
 
-    return spread(blocked, "manifest_id", "bin_type", "_block").groupBy("manifest_id", "bin_type", "_block").applyInPandas(run, _PIECE + ", fill double, container string")
+    return spread(blocked, "manifest_id", "bin_type", "_block").groupBy("manifest_id", "bin_type", "_block").applyInPandas(run, _PACKED)
 
 
 def pack_items(items: DataFrame, bins: DataFrame) -> DataFrame:
@@ -308,11 +311,9 @@ def pack_items(items: DataFrame, bins: DataFrame) -> DataFrame:
     type are not packed. See ``item_rows`` for nulls and repeats.
     """
     pieces = _pieces(item_rows(items, bins))
-    first = _pack(_blocked(pieces, 1), "a")
-    one_block = F.count("*").over(W.partitionBy("manifest_id", "bin_type")) <= BLOCK
-    first = first.withColumn("_done", (F.col("fill") >= POOR) | one_block)
-    again = first.where(~F.col("_done")).select(*[c.split()[0] for c in _PIECE.split(", ")])
-    both = first.where("_done").drop("_done").unionByName(_pack(_blocked(again, 2), "b"))
+    first = cut_lineage(_pack(_blocked(pieces, 1), "a"))
+    again = first.where(~F.col("settled")).select(*[c.split()[0] for c in _PIECE.split(", ")])
+    both = first.where("settled").unionByName(_pack(_blocked(again, 2), "b"))
     return both.select(*[c.split()[0] for c in ASSIGNED.split(", ")])
 
 
