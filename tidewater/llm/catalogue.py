@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import conversations, packing, splitting, tokenizing
+from tidewater.llm import conversations, garbling, packing, splitting, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -97,3 +97,13 @@ def p2_usage(spark: SparkSession, d: str) -> DataFrame:
     """Containers and mean used share per manifest."""
     boxes = packed_items(spark, d).groupBy("manifest_id", "container").agg(F.first("fill").alias("fill"), F.count("*").alias("pieces"))
     return boxes.groupBy("manifest_id").agg(F.count("*").alias("containers"), F.round(F.avg("fill"), 6).alias("mean_fill"), F.sum("pieces").alias("pieces"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbling.repair(table(spark, d, "document_chunks")).select("chunk_id").distinct()
+
+
+@query("p5_restored")
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbling.repair(table(spark, d, "document_chunks")).dropDuplicates(["chunk_id"])
