@@ -32,7 +32,7 @@ from tidewater.session import cut_lineage, spread
 from tidewater.sources.tables import first_rows
 
 #: Items packed in one task; bounds memory and time of a group.
-BLOCK = 2000
+BLOCK = 500
 #: Containers filled less than this are taken apart for the second round.
 POOR = 0.6
 #: Distinct lengths from which triples are indexed; beyond more, pairs only would grow too large.
