@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import conversations, garbling, packing, splitting, tokenizing
+from tidewater.llm import conversations, garbling, packing, splitting, stuffing, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -107,3 +107,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_restored")
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbling.repair(table(spark, d, "document_chunks")).dropDuplicates(["chunk_id"])
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+@query("p10_measures")
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.measure_pages(table(spark, d, "documents"))
