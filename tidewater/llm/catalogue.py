@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import conversations, garbling, packing, splitting, stuffing, tokenizing
+from tidewater.llm import conversations, garbling, leakage, packing, splitting, stuffing, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -117,3 +117,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_measures")
 def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.measure_pages(table(spark, d, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query("p9_leaks")
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with the documents that hold it."""
+    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"), F.count_if("answer").alias("with_answer"))
