@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import conversations, garbling, leakage, packing, splitting, stuffing, tokenizing
+from tidewater.llm import conversations, garbling, leakage, packing, scans, splitting, stuffing, tokenizing
 from tidewater.queries.registry import Query, Registry
 from tidewater.sources.tables import table
 
@@ -129,3 +129,13 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Each leaked item with the documents that hold it."""
     found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"), F.count_if("answer").alias("with_answer"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_rows(table(spark, d, "document_chunks")).select("chunk_id")
+
+
+@query("p4_repaired")
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_scans(table(spark, d, "document_chunks"))
