@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.queries import quality
+from tidewater.queries import quality, usage
 from tidewater.queries.registry import Query
 
-MODULES = [quality]
+MODULES = [usage, quality]
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +19,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.p1_report(spark, folder)
+    return usage.usage_daily_all(spark, folder)
