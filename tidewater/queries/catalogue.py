@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.queries import cargo, quality, usage
+from tidewater.queries import cargo, quality, texts, usage
 from tidewater.queries.registry import Query
 
-MODULES = [usage, cargo, quality]
+MODULES = [usage, cargo, texts, quality]
 
 
 def queries() -> dict[str, Query]:
