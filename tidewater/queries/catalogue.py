@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.queries import cargo, chunksets, quality, texts, usage
+from tidewater.queries import cargo, chunksets, documents, quality, texts, usage
 from tidewater.queries.registry import Query
 
-MODULES = [usage, cargo, texts, chunksets, quality]
+MODULES = [usage, cargo, texts, chunksets, documents, quality]
 
 
 def queries() -> dict[str, Query]:
