@@ -61,8 +61,10 @@ _TAGS = re.compile(r"^\s*(?:<[^>]*>\s*)*(?:meta\s+)?(?:tags?|keywords?|labels?|c
 _MENU = re.compile(r"\S\s*(?:>|»|›|→|::)\s*\S")
 _ITEM = re.compile(r"\s*(?:\||::|/|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|,(?=\s)|\t)\s*")
 _HARD_ITEM = re.compile(r"\s*(?:\||::|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|\t| / )\s*")
+_CODED = re.compile(r"\S*\d\S*")
 _FIGURE = re.compile(r"\d[\d.,:/]*(\s?(?:mm|cm|m|km|kg|t|mt|kw|cbm|knots|m[²³23]|t/m2|%)\b)?", re.I)
 _CLOUD = re.compile(r"(?:[^\W\d_]+[ -]){1,3}[^\W\d_]+ [(\[]\d[\d.,]*[)\]]")
+_PRODUCT = re.compile(r"(?:[^\W\d_]+ ){1,5}(?:ref|sku|art|item|code|no|id)\.? ?#?\d[\d.,]*(?= *(?:[|;,]|$))", re.I)
 #: Words up to which a unit is a list entry rather than a sentence.
 ENTRY = 10
 
@@ -109,7 +111,7 @@ def analyse(text: str | None) -> dict[str, float]:
     words: list[str] = []
     spans = []
     for u in units:
-        own = [w.lower() for w in _WORD.findall(_LINK.sub(" ", u))]
+        own = [w.lower() for w in _WORD.findall(_CODED.sub(" ", _LINK.sub(" ", u)))]
         spans.append((len(words), len(words) + len(own)))
         words += own
     content = [w not in FUNCTION and len(w) > 1 for w in words]
@@ -122,7 +124,7 @@ def analyse(text: str | None) -> dict[str, float]:
     split = []
     for u in units:
         figures = any(ch.isdigit() for ch in u)
-        parts = [" ".join(_WORD.findall(p)).lower() for p in (_HARD_ITEM if figures else _ITEM).split(u)]
+        parts = [" ".join(_WORD.findall(_CODED.sub(" ", p))).lower() for p in (_HARD_ITEM if figures else _ITEM).split(u)]
         parts = [p for p in parts if p]
         split.append(parts)
         items.update(parts)
@@ -138,6 +140,9 @@ def analyse(text: str | None) -> dict[str, float]:
         func = sum(w in FUNCTION for w in own) / max(1, n)
         linked = sum(len(m) for m in _LINK.findall(u)) + sum(len(m) for m in _HASH.findall(u))
         cloud = sum(len(m.group()) for m in _CLOUD.finditer(u)) if u.count("(") + u.count("[") > 4 else 0
+        products = _PRODUCT.findall(u)
+        if len(products) > 4:
+            cloud = max(cloud, sum(map(len, products)) + 3 * len(products))
         if linked > 0.5 * size or _TAGS.search(u) or (linked and func < 0.2) or (len(_MENU.findall(u)) > 1 and func < 0.2 and n < 30) or cloud > 0.7 * len(u):
             kinds["links"] += size
             continue
