@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,8 +34,6 @@ from tidewater.sources.tables import first_rows
 BLOCK = 500
 #: Containers filled less than this are taken apart for the second round.
 POOR = 0.6
-#: Distinct lengths from which triples are indexed; beyond more, pairs only would grow too large.
-TRIPLES = 60
 
 
 class Stock:
@@ -75,45 +72,45 @@ class Stock:
 
 
 class Sums:
-    """Hash index from a sum of one, two or three stocked lengths to such combinations."""
+    """Hash index from sums of stocked lengths to the combinations that give them.
+
+    Singles are the stock itself, pairs are stored, and a triple sum is hashed as
+    one length and the pair that complements it.
+    """
 
     def __init__(self, stock: Stock) -> None:
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
         ls = stock.lengths
-        self.pairs: dict[int, list[tuple[int, ...]]] = {}
-        self.triples: dict[int, list[tuple[int, ...]]] = {}
         for i, a in enumerate(ls):
             for b in ls[i:]:
                 self.pairs.setdefault(a + b, []).append((b, a))
-        if len(ls) <= TRIPLES:
-            for i, a in enumerate(ls):
-                for j in range(i, len(ls)):
-                    for c in ls[j:]:
-                        self.triples.setdefault(a + ls[j] + c, []).append((c, ls[j], a))
+
+    def _combinations(self, stock: Stock, gap: int) -> Iterator[tuple[int, ...]]:
+        if gap in stock.by:
+            yield (gap,)
+        yield from self.pairs.get(gap, ())
+        for a in stock.lengths[::-1]:
+            if a < gap:
+                for b, c in self.pairs.get(gap - a, ()):
+                    if b <= a:
+                        yield (a, b, c)
 
     def exact(self, stock: Stock, gap: int, room: float) -> list[tuple[int, tuple[float, int]]] | None:
-        """Pieces taken from the stock whose lengths sum to the gap, if there are such."""
-        if gap in stock.by and (p := stock.take(gap, room)):
-            return [(gap, p)]
-        for table in (self.pairs, self.triples):
-            live = []
-            for combo in table.get(gap, ()):
-                need = Counter(combo)
-                if any(len(stock.by.get(x, ())) < n for x, n in need.items()):
-                    continue
-                live.append(combo)
-                got, left = [], room
-                for x in combo:
-                    p = stock.take(x, left)
-                    if p is None:
-                        break
-                    got.append((x, p))
-                    left -= p[0]
-                if len(got) == len(combo):
-                    return got
-                for x, p in got:
-                    stock.give(x, p)
-            if gap in table:
-                table[gap] = live
+        """Pieces taken from the stock whose lengths sum to the gap, as far as the counts allow, if there are such."""
+        for combo in self._combinations(stock, gap):
+            if any(len(stock.by.get(x, ())) < combo.count(x) for x in combo):
+                continue
+            got, left = [], room
+            for x in combo:
+                p = stock.take(x, left)
+                if p is None:
+                    break
+                got.append((x, p))
+                left -= p[0]
+            if len(got) == len(combo):
+                return got
+            for x, p in got:
+                stock.give(x, p)
         return None
 
 
@@ -217,6 +214,8 @@ def pack_block(items: list[tuple[int, int, float, float, float, float]], dims: t
     length, width, height = (math.floor(x * 1000 + 1e-6) for x in dims[:3])
     most = dims[3] * (1 + 1e-9)
     best: list[list[int]] | None = None
+    space = max(1, length * width * height)
+    least = max(1, math.ceil(sum(_mm(i[2]) * _mm(i[3]) * _mm(i[4]) for i in items) / space - 1e-9), math.ceil(sum(i[5] for i in items) / most - 1e-9) if most > 0 else 1)
     for across in (False, True):
         placed = []
         for n, (_, _, l, w, h, kg) in enumerate(items):
@@ -228,6 +227,8 @@ def pack_block(items: list[tuple[int, int, float, float, float, float]], dims: t
             got = _stages(placed, (length, width, height), most, spread)
             if best is None or len(got) < len(best):
                 best = got
+            if len(best) <= least:
+                return [(items[n][0], items[n][1], k) for k, group in enumerate(best) for n in group]
     return [(items[n][0], items[n][1], k) for k, group in enumerate(best or []) for n in group]
 
 
