@@ -66,11 +66,20 @@ def merge_usage(clients: DataFrame, key: str, *usages: DataFrame) -> DataFrame:
     return out.select(*clients.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in figures])
 
 
-def sliding_sum(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
-    """Adds ``window_sum``: the sum of the rows of the key less than ``seconds`` before, the row's own included."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return df.withColumn("_us", at).withColumn("window_sum", F.sum(value).over(w)).drop("_us")
+def sliding_sum(df: DataFrame, key: str, ts: str, value: str, seconds: int, blocks: int = 20) -> DataFrame:
+    """Adds ``window_sum``: the sum of the rows of the key less than ``seconds`` before, the row's own included.
+
+    A key is cut into blocks of ``blocks`` times the window; rows at the end of a
+    block are copied into the next, so that a key of very many rows is summed in
+    many tasks. Rows with a null time are summed among themselves.
+    """
+    span = seconds * 1_000_000
+    r = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    own = F.coalesce(F.floor(F.col("_us") / (span * blocks)), F.lit(-1)).cast("long")
+    nxt = F.coalesce(F.floor((F.col("_us") + span) / (span * blocks)), F.lit(-1)).cast("long")
+    r = r.withColumn("_own", own).withColumn("_b", F.explode(F.array_distinct(F.array(own, nxt))))
+    w = W.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(span - 1), 0)
+    return r.withColumn("window_sum", F.sum(value).over(w)).where("_b = _own").drop("_us", "_own", "_b")
 
 
 def document_summary(files: DataFrame, group: str) -> DataFrame:
@@ -101,10 +110,9 @@ def section_progress(sections: DataFrame, files: DataFrame, defaults: dict[str,
     The section list of a client is the default list overlaid with its own rows;
     inactive rows hide a section.
     """
-    spark = sections.sparkSession
-    base = spark.createDataFrame(list(defaults.items()), "slug string, default_label string")
+    slugs = F.array(*[F.lit(s) for s in defaults])
     clients = sections.select("client_id").where("client_id is not null").distinct()
-    full = clients.crossJoin(F.broadcast(base)).join(sections.select("client_id", "slug", F.col("active").alias("shown")), ["client_id", "slug"], "left").where(F.coalesce("shown", F.lit(True)))
+    full = clients.select("client_id", F.explode(slugs).alias("slug")).join(sections.select("client_id", "slug", F.col("active").alias("shown")), ["client_id", "slug"], "left").where(F.coalesce("shown", F.lit(True)))
     docs = files.groupBy("client_id", F.col("document_category").alias("slug")).agg(F.count("*").alias("n"), F.bool_and(F.col("status") == "active").alias("all_active"))
     j = full.join(docs, ["client_id", "slug"], "left")
     g = j.groupBy("client_id").agg(F.count("*").alias("sections"), F.count_if(F.col("n") > 0).alias("filled"), F.count_if(F.col("all_active")).alias("verified"))

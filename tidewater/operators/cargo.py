@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewater.session import cut_lineage
+
 EPS = 1e-6
 LATERAL, STACK = 0.10, 0.02
 #: Share of the deadweight that may be used, and the density (kg per m3) where it is unknown.
@@ -196,13 +198,19 @@ def unpack(packed: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def global_positions(items: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``position``, the rank over all manifests by ``order``.
+    """Adds ``position``, the rank over all rows by ``order`` from 0.
 
-    Two levels: ranks within the first key's groups, offsets by a running sum over
-    group sizes, so no single task sorts all rows.
+    Rows are range-partitioned by the order, so partitions follow each other; only
+    their sizes reach the driver. Ties beyond the order columns are ranked at will.
     """
-    first, rest = order[0], order[1:]
-    inner = F.row_number().over(W.partitionBy(first).orderBy(*rest))
-    sizes = items.groupBy(first).agg(F.count("*").alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(W.orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("_in", inner).join(sizes.withColumn("_off", offset).drop("_n"), first).withColumn("position", F.col("_in") + F.col("_off") - 1).drop("_in", "_off")
+    spark = items.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = cut_lineage(items.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
+    offsets, total = [], 0
+    for p in sorted(sizes):
+        offsets.append((p, total))
+        total += sizes[p]
+    off = spark.createDataFrame(offsets or [(0, 0)], "_p int, _off long")
+    w = W.partitionBy("_p").orderBy(*order)
+    return ranged.join(F.broadcast(off), "_p").withColumn("position", F.row_number().over(w) - 1 + F.col("_off")).drop("_p", "_off")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions import text as tx
+from tidewater.operators import ordered as od
 
 
 def dedup(df: DataFrame, scope: str, content: str, titled: Column, sectioned: Column, key: str) -> DataFrame:
@@ -23,17 +24,17 @@ def dedup(df: DataFrame, scope: str, content: str, titled: Column, sectioned: Co
 
 def consolidate(df: DataFrame, group: list[str], order: str, content: str, block: int = 1000, glue: str = "\n\n") -> DataFrame:
     """(group, block, body): contents joined in order, in blocks of at most ``block`` rows so that no group is gathered whole."""
-    w = W.partitionBy(*group).orderBy(order)
-    r = df.withColumn("block", F.floor((F.row_number().over(w) - 1) / block).cast("int"))
+    r = od.numbered(df, group, [order], "_n").withColumn("block", F.floor((F.col("_n") - 1) / block).cast("int"))
     g = r.groupBy(*group, "block").agg(F.sort_array(F.collect_list(F.struct(order, content))).alias("_c"))
     return g.select(*group, "block", F.array_join(F.transform("_c", lambda x: x[content]), glue).alias("body"))
 
 
 def type_runs(df: DataFrame, group: list[str], order: str, kind: str) -> DataFrame:
     """(group, run, kind, first, last, n): stretches of equal kinds in order."""
-    w = W.partitionBy(*group).orderBy(order)
-    r = df.withColumn("_new", F.coalesce((~F.col(kind).eqNullSafe(F.lag(kind).over(w))).cast("int"), F.lit(1)))
-    r = r.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("_new"))).withColumn("run", F.sum("_new").over(w))
+    wrapped = df.withColumn("_w", F.struct(F.col(kind).alias("k")))
+    r = od.lagged(wrapped, group, [order], "_w", "_p")
+    r = r.withColumn("_new", (F.col("_p").isNull() | ~F.col("_p.k").eqNullSafe(F.col(kind))).cast("int"))
+    r = od.running_sum(r, group, [order], "_new", "run")
     return r.groupBy(*group, "run", kind).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
@@ -163,16 +164,14 @@ def last_turns(messages: DataFrame, turns: int) -> DataFrame:
     """The last ``2 * turns`` messages of each session; 0 keeps all."""
     if turns == 0:
         return messages
-    w = W.partitionBy("session_id").orderBy(F.col("position").desc(), F.col("id").desc())
-    return messages.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 2 * turns).drop("_k")
+    return od.top_rows(messages, ["session_id"], [F.col("position").desc(), F.col("id").desc()], 2 * turns, F.col("id"))
 
 
 def append_messages(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New messages (session_id, seq, role, content) with positions that go on from the session's last."""
     last = existing.groupBy("session_id").agg(F.max("position").alias("_last"))
-    w = W.partitionBy("session_id").orderBy("seq")
-    j = new.join(last, "session_id", "left")
-    return j.select("session_id", "role", "content", (F.coalesce(F.col("_last") + 1, F.lit(0)) + F.row_number().over(w) - 1).cast("int").alias("position"))
+    j = od.numbered(new, ["session_id"], ["seq"], "_n").join(last, "session_id", "left")
+    return j.select("session_id", "role", "content", (F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("_n") - 1).cast("int").alias("position"))
 
 
 def coverage(raw: DataFrame, final: DataFrame, source: DataFrame, headings: DataFrame) -> DataFrame:
