@@ -41,3 +41,12 @@ def test_operator_edges(spark):
     df = spark.createDataFrame([(1, STUFFED[0], 1.0), (1, STUFFED[0], 1.0), (2, None, 1.0), (3, "", 1.0), (4, " \n", 1.0), (None, STUFFED[0], 1.0), (5, PROSE * 2000, 1.0)], "doc_id long, text string, share double")
     assert [r.doc_id for r in stuffed_pages(df).collect()] == [1, 1]
     assert stuffed_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, " " * 200_000 + "x", "a b " * 50_000, "ship paint | " * 20_000, "1" * 200_000, "a. " * 50_000, "\n" * 100_000])
+def test_long_texts_are_read_in_linear_time(text):
+    import time
+
+    t = time.time()
+    analyse(text)
+    assert time.time() - t < 20

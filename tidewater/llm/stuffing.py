@@ -61,10 +61,11 @@ _TAGS = re.compile(r"^\s*(?:<[^>]*>\s*)*(?:meta\s+)?(?:tags?|keywords?|labels?|c
 _MENU = re.compile(r"\S\s*(?:>|»|›|→|::)\s*\S")
 _ITEM = re.compile(r"\s*(?:\||::|/|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|,(?=\s)|\t)\s*")
 _HARD_ITEM = re.compile(r"\s*(?:\||::|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|\t| / )\s*")
-_CODED = re.compile(r"\S*\d\S*")
+_CODED = re.compile(r"(?<!\S)(?=\S*?\d)\S+")
+_BLANKS = re.compile(r"(\s)\s{3,}")
 _FIGURE = re.compile(r"\d[\d.,:/]*(\s?(?:mm|cm|m|km|kg|t|mt|kw|cbm|knots|m[²³23]|t/m2|%)\b)?", re.I)
-_CLOUD = re.compile(r"(?:[^\W\d_]+[ -]){1,3}[^\W\d_]+ [(\[]\d[\d.,]*[)\]]")
-_PRODUCT = re.compile(r"(?:[^\W\d_]+ ){1,5}(?:ref|sku|art|item|code|no|id)\.? ?#?\d[\d.,]*(?= *(?:[|;,]|$))", re.I)
+_CLOUD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+[ -]){1,3}[^\W\d_]+ [(\[]\d[\d.,]*[)\]]")
+_PRODUCT = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+ ){1,5}(?:ref|sku|art|item|code|no|id)\.? ?#?\d[\d.,]*(?= *(?:[|;,]|$))", re.I)
 #: Words up to which a unit is a list entry rather than a sentence.
 ENTRY = 10
 
@@ -77,6 +78,7 @@ def _units(text: str) -> list[str]:
     out = []
     for line in text.splitlines():
         if line.strip():
+            line = _BLANKS.sub(r"\1\1", line)
             out += [s for s in _SENTENCE.split(line) if s.strip()]
     return out
 
@@ -140,7 +142,7 @@ def analyse(text: str | None) -> dict[str, float]:
         func = sum(w in FUNCTION for w in own) / max(1, n)
         linked = sum(len(m) for m in _LINK.findall(u)) + sum(len(m) for m in _HASH.findall(u))
         cloud = sum(len(m.group()) for m in _CLOUD.finditer(u)) if u.count("(") + u.count("[") > 4 else 0
-        products = _PRODUCT.findall(u)
+        products = _PRODUCT.findall(u) if u.count("|") + u.count(";") + u.count(",") > 3 else []
         if len(products) > 4:
             cloud = max(cloud, sum(map(len, products)) + 3 * len(products))
         if linked > 0.5 * size or _TAGS.search(u) or (linked and func < 0.2) or (len(_MENU.findall(u)) > 1 and func < 0.2 and n < 30) or cloud > 0.7 * len(u):
