@@ -62,6 +62,7 @@ _MENU = re.compile(r"\S\s*(?:>|»|›|→|::)\s*\S")
 _ITEM = re.compile(r"\s*(?:\||::|/|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|,(?=\s)|\t)\s*")
 _HARD_ITEM = re.compile(r"\s*(?:\||::|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|\t| / )\s*")
 _CODED = re.compile(r"(?<!\S)(?=\S*?\d)\S+")
+_DIGIT = re.compile(r"\d")
 _BLANKS = re.compile(r"(\s)\s{3,}")
 _FIGURE = re.compile(r"\d[\d.,:/]*(\s?(?:mm|cm|m|km|kg|t|mt|kw|cbm|knots|m[²³23]|t/m2|%)\b)?", re.I)
 _CLOUD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+[ -]){1,3}[^\W\d_]+ [(\[]\d[\d.,]*[)\]]")
@@ -125,7 +126,7 @@ def analyse(text: str | None) -> dict[str, float]:
     items: Counter = Counter()
     split = []
     for u in units:
-        figures = any(ch.isdigit() for ch in u)
+        figures = _DIGIT.search(u) is not None
         parts = [" ".join(_WORD.findall(_CODED.sub(" ", p))).lower() for p in (_HARD_ITEM if figures else _ITEM).split(u)]
         parts = [p for p in parts if p]
         split.append(parts)
