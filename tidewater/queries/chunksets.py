@@ -35,7 +35,7 @@ _W = "list_filter(regexp_split_to_array(body, '[\\s\\x{A0}]+'), lambda x: x <> '
 @query(
     "word_chunks",
     f"""
-SELECT id, part, CASE WHEN n > 1 THEN trim(coalesce(title, CASE WHEN part > 1 THEN 'Continued' ELSE '' END) || ' (part ' || part || ')') ELSE title END AS title,
+SELECT id, part::INT AS part, CASE WHEN n > 1 THEN trim(coalesce(title, CASE WHEN part > 1 THEN 'Continued' ELSE '' END) || ' (part ' || part || ')') ELSE title END AS title,
   CASE WHEN n > 1 THEN array_to_string(w[(part - 1) * 200 + 1 : part * 200], ' ') ELSE body END AS body
 FROM (SELECT id, title, body, {_W} AS w, greatest(1, CAST(ceil(len({_W}) / 200.0) AS INT)) AS n FROM {_CHUNKS} WHERE body IS NOT NULL), LATERAL (SELECT unnest(generate_series(1, n)) AS part)
 """,
@@ -199,7 +199,7 @@ def upserted_files(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "top_matches",
     """
-SELECT query_id, vec_id, score, rank FROM (
+SELECT query_id, vec_id, score, rank::INT AS rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank
   FROM embeddings q JOIN embeddings v ON v.label = q.label WHERE q.vec_id % 50 = 0) WHERE rank <= 8

@@ -126,7 +126,7 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "body_sizes",
     f"""
-SELECT document_id AS doc_id, 8.0 AS body_size FROM {_CHUNKS} WHERE document_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (position % 20 = 0) >= 0 AND count(*) >= count(*) FILTER (position % 20 <> 0)
+SELECT document_id AS doc_id, 8.0::DOUBLE AS body_size FROM {_CHUNKS} WHERE document_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (position % 20 = 0) >= 0 AND count(*) >= count(*) FILTER (position % 20 <> 0)
 """,
 )
 def body_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,7 @@ _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 
 @query(
     "text_counts",
-    f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '')) AS words, len(string_split(coalesce(text, ''), chr(10))) AS lines, coalesce(length(text), 0) AS chars FROM documents",
+    f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> ''))::INT AS words, len(string_split(coalesce(text, ''), chr(10)))::INT AS lines, coalesce(length(text), 0)::INT AS chars FROM documents",
 )
 def text_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
