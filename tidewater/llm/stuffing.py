@@ -62,6 +62,8 @@ _MENU = re.compile(r"\S\s*(?:>|»|›|→|::)\s*\S")
 _ITEM = re.compile(r"\s*(?:\||::|/|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|,(?=\s)|\t)\s*")
 _HARD_ITEM = re.compile(r"\s*(?:\||::|;|•|·|»|>|→|\([\d\s.,]*\)|\[[\d\s.,]*\]|\t| / )\s*")
 _CODED = re.compile(r"(?<!\S)(?=\S*?\d)\S+")
+_MARK = re.compile(r"https?:|www\.|<|\]\(|//|#", re.I)
+_SEPARATOR = re.compile(r"[|;•·»>→\t/(\[]|::|,\s")
 _DIGIT = re.compile(r"\d")
 _BLANKS = re.compile(r"(\s)\s{3,}")
 _FIGURE = re.compile(r"\d[\d.,:/]*(\s?(?:mm|cm|m|km|kg|t|mt|kw|cbm|knots|m[²³23]|t/m2|%)\b)?", re.I)
@@ -111,71 +113,84 @@ def analyse(text: str | None) -> dict[str, float]:
     total = sum(map(_solid, units))
     if not total:
         return zero
+    marked = _MARK.search(text) is not None
     words: list[str] = []
-    spans = []
+    spans, digits, marks = [], [], []
     for u in units:
-        own = [w.lower() for w in _WORD.findall(_CODED.sub(" ", _LINK.sub(" ", u)))]
+        mark, digit = marked and _MARK.search(u) is not None, _DIGIT.search(u) is not None
+        plain = _LINK.sub(" ", u) if mark else u
+        own = _WORD.findall((_CODED.sub(" ", plain) if digit else plain).lower())
         spans.append((len(words), len(words) + len(own)))
+        digits.append(digit)
+        marks.append(mark)
         words += own
-    content = [w not in FUNCTION and len(w) > 1 for w in words]
+    function = [w in FUNCTION for w in words]
+    content = [not f and len(w) > 1 for w, f in zip(words, function, strict=True)]
     gap = _gaps(words, content)
     n_content = max(1, sum(content))
     lag = {f"lag_{k}": sum(c and g <= k for c, g in zip(content, gap, strict=True)) / n_content for k in LAGS}
-    pairs = Counter(_pairs(words))
     single = Counter(w for w, c in zip(words, content, strict=True) if c)
+    hot = {w for w, c in single.items() if c >= OFTEN}
+    pairs = {p for p, c in Counter(_pairs(words)).items() if c >= OFTEN} if hot else set()
     items: Counter = Counter()
     split = []
-    for u in units:
-        figures = _DIGIT.search(u) is not None
-        parts = [" ".join(_WORD.findall(_CODED.sub(" ", p))).lower() for p in (_HARD_ITEM if figures else _ITEM).split(u)]
-        parts = [p for p in parts if p]
+    for u, digit, mark, (a, b) in zip(units, digits, marks, spans, strict=True):
+        if not mark and not _SEPARATOR.search(u):
+            parts = [" ".join(words[a:b])] if b > a else []
+        else:
+            cut = (_HARD_ITEM if digit else _ITEM).split(u.lower())
+            parts = [x for p in cut if (x := " ".join(_WORD.findall(_CODED.sub(" ", p) if digit else p)))]
         split.append(parts)
         items.update(parts)
-    opening = Counter(" ".join(p.split()[:2]) for parts in split for p in parts)
+    opening = Counter(" ".join(p.split()[:2]) for parts in split if len(parts) >= 8 for p in parts)
     entries = sum(0 < b - a <= ENTRY and u.rstrip()[-1:] not in ".!?" for u, (a, b) in zip(units, spans, strict=True))
     often = 2 if entries >= 8 and entries > len(units) / 2 else OFTEN - 1
     same = Counter(units)
     kinds = dict.fromkeys(("links", "phrases", "items", "lists"), 0)
-    for u, (a, b), parts in zip(units, spans, split, strict=True):
+    for u, digit, mark, (a, b), parts in zip(units, digits, marks, spans, split, strict=True):
         size = _solid(u)
         own = words[a:b]
         n = b - a
-        func = sum(w in FUNCTION for w in own) / max(1, n)
-        linked = sum(len(m) for m in _LINK.findall(u)) + sum(len(m) for m in _HASH.findall(u))
-        cloud = sum(len(m.group()) for m in _CLOUD.finditer(u)) if u.count("(") + u.count("[") > 4 else 0
-        products = _PRODUCT.findall(u) if u.count("|") + u.count(";") + u.count(",") > 3 else []
+        func = sum(function[a:b]) / max(1, n)
+        linked = sum(map(len, _LINK.findall(u))) + sum(map(len, _HASH.findall(u))) if mark else 0
+        cloud = sum(len(m.group()) for m in _CLOUD.finditer(u)) if digit and u.count("(") + u.count("[") > 4 else 0
+        products = _PRODUCT.findall(u) if digit and u.count("|") + u.count(";") + u.count(",") > 3 else []
         if len(products) > 4:
             cloud = max(cloud, sum(map(len, products)) + 3 * len(products))
-        if linked > 0.5 * size or _TAGS.search(u) or (linked and func < 0.2) or (len(_MENU.findall(u)) > 1 and func < 0.2 and n < 30) or cloud > 0.7 * len(u):
+        if linked > 0.5 * size or ((":" in u or "=" in u) and _TAGS.search(u)) or (linked and func < 0.2) or (func < 0.2 and n < 30 and len(_MENU.findall(u)) > 1) or cloud > 0.7 * len(u):
             kinds["links"] += size
             continue
         if not n:
             continue
-        inner = Counter(p for p in _pairs(own) if pairs[p] >= OFTEN)
-        twice = _inner_repeat(own, single)
+        again = [w for w in own if w in hot] if hot else []
+        twice = len(again) > 1 and len(set(again)) < len(again)
+        inner = Counter(p for p in _pairs(own) if p in pairs) if pairs and again else Counter()
         n_own = max(1, sum(content[a:b]))
-        near = sum(gap[i] <= LAGS[1] for i in range(a, b) if content[i] and single[words[i]] >= OFTEN)
-        if near >= max(2, 0.4 * n_own) and (any(c > 1 for c in inner.values()) or (not inner and twice)):
-            kinds["phrases"] += size
-            continue
-        figures = _FIGURE.findall(u)
+        if twice or inner:
+            near = sum(gap[i] <= LAGS[1] for i in range(a, b) if words[i] in hot)
+            if near >= max(2, 0.4 * n_own) and (any(c > 1 for c in inner.values()) or (not inner and twice)):
+                kinds["phrases"] += size
+                continue
+        figures = _FIGURE.findall(u) if digit else []
         counted = len(figures) > max(1, 0.2 * n) or any(figures)
-        entry = n <= ENTRY and u.rstrip()[-1:] not in ".!?"
-        back = sum(len(p) for p in parts if items[p] >= (often if entry else OFTEN - 1))
+        ended = u.rstrip()[-1:] in ".!?"
+        entry = n <= ENTRY and not ended
         whole = sum(map(len, parts))
         if len(parts) >= 8 and 4 <= whole / len(parts) <= 30 and func < 0.35 and sum(len(p) for p in parts if opening[" ".join(p.split()[:2])] > 1) >= 0.5 * whole:
             kinds["items"] += size
             continue
-        if same[u] >= OFTEN - 1 and func < 0.2 and not counted:
-            kinds["items"] += size
-            continue
-        if (func < 0.2 or entry) and back >= 0.5 * whole and (entry or len(parts) > 2 or twice) and not (entry and counted and len(parts) < 3):
+        if func < 0.2 and not counted and same[u] >= OFTEN - 1:
             kinds["items"] += size
             continue
-        recur = sum(gap[i] <= LAGS[2] for i in range(a, b) if content[i]) / n_own
-        sentence = 6 <= n < 30 and u.rstrip()[-1:] in ".!?" and not twice
-        if not counted and not sentence and ((func < 0.2 and recur >= RECUR) or (entry and (inner or _opens(items, own, often)))):
-            kinds["lists"] += size
+        if (func < 0.2 or entry) and (entry or len(parts) > 2 or twice) and not (entry and counted and len(parts) < 3):
+            if sum(len(p) for p in parts if items[p] >= (often if entry else OFTEN - 1)) >= 0.5 * whole:
+                kinds["items"] += size
+                continue
+        sentence = 6 <= n < 30 and ended and not twice
+        if not counted and not sentence:
+            recur = sum(gap[i] <= LAGS[2] for i in range(a, b) if content[i]) / n_own
+            if (func < 0.2 and recur >= RECUR) or (entry and (inner or _opens(items, own, often))):
+                kinds["lists"] += size
     stuffed = sum(kinds.values())
     return {"share": stuffed / total, **{k: v / total for k, v in kinds.items()}, **lag}
 
@@ -197,11 +212,6 @@ def _opens(items: Counter, own: list[str], often: int) -> bool:
     return any(items[" ".join(own[:k])] >= often for k in (1, 2, 3, 4) if len(own) > k)
 
 
-def _inner_repeat(own: list[str], single: Counter) -> bool:
-    """Whether a repeated content word of the page stands twice in these words."""
-    return any(n > 1 and w not in FUNCTION and single[w] >= OFTEN for w, n in Counter(own).items())
-
-
 MEASURES = "doc_id long, share double, links double, phrases double, items double, lists double, " + ", ".join(f"lag_{k} double" for k in LAGS)
 
 
