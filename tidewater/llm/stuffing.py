@@ -128,7 +128,8 @@ def analyse(text: str | None) -> dict[str, float]:
     content = [not f and len(w) > 1 for w, f in zip(words, function, strict=True)]
     gap = _gaps(words, content)
     n_content = max(1, sum(content))
-    lag = {f"lag_{k}": sum(c and g <= k for c, g in zip(content, gap, strict=True)) / n_content for k in LAGS}
+    recurring = [g for g in gap if g <= LAGS[-1]]
+    lag = {f"lag_{k}": sum(g <= k for g in recurring) / n_content for k in LAGS}
     single = Counter(w for w, c in zip(words, content, strict=True) if c)
     hot = {w for w, c in single.items() if c >= OFTEN}
     pairs = {p for p, c in Counter(_pairs(words)).items() if c >= OFTEN} if hot else set()
