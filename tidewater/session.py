@@ -59,6 +59,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+#: Inputs below this size may be repartitioned to use all cores.
+SMALL = 1 << 30
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a small input of few files over all cores before a map-only Python stage; larger inputs keep their splits."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
