@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.session import widen
+
 #: Lag windows in words: phrase repetition within a sentence, within a few items, within a list.
 LAGS = (4, 10, 40)
 #: Share of recurring content words that makes a list a stuffed one.
@@ -224,7 +226,7 @@ def measure_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for b in batches:
             yield pd.DataFrame([{"doc_id": int(k), **analyse(t)} for k, t in b.itertuples(index=False, name=None)], columns=names)
 
-    return df.where(F.col(key).isNotNull()).select(key, text).mapInPandas(run, MEASURES)
+    return widen(df.where(F.col(key).isNotNull()).select(key, text), key).mapInPandas(run, MEASURES)
 
 
 def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", most: float = MOST) -> DataFrame:

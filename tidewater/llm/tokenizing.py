@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidewater.session import widen
+
 #: Where the public vocabulary files lie; a parameter everywhere below.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -155,4 +157,4 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return widen(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
