@@ -62,3 +62,26 @@ def test_operator_edges(spark, monkeypatch):
     assert {r.item_row_id for r in got} == {r[0] for r in rows} - {8, 9, 10}
     assert len([r for r in got if r.manifest_id == 3]) == 23
     assert pack_items(items.where("false"), bins).count() == 0
+
+
+def test_blocks_exchange_until_none_is_saved(spark, monkeypatch):
+    """Bars of many lengths in blocks of 8: limits hold, and containers are saved over blocks that never meet."""
+    lengths = [(37 * i) % 61 + 20 for i in range(64)]
+    items = spark.createDataFrame([(i, 1, "b", x / 10, 1.0, 1.0, 1.0, T, "") for i, x in enumerate(lengths)], ITEMS)
+    bins = spark.createDataFrame([("b", 10.0, 1.0, 1.0, 1000.0)], BINS)
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    apart = packing._pack(packing._blocked(packing._pieces(packing.item_rows(items, bins))), "a").select("container").distinct().count()
+    got = pack_items(items, bins).collect()
+    assert sorted(r.item_row_id for r in got) == list(range(64))
+    used = {}
+    for r in got:
+        used.setdefault(r.container, []).append(lengths[r.item_row_id])
+    assert all(sum(v) <= 100 for v in used.values())
+    assert len(used) < apart
+
+
+def test_a_manifest_of_a_thousand_pieces_is_one_block(spark):
+    """Cut into blocks of 500 this lost exact complements."""
+    items = spark.createDataFrame([(i, 1, "b", (10 + i % 700) / 1000, 1.0, 1.0, 0.0, T, "") for i in range(1400)], ITEMS)
+    bins = spark.createDataFrame([("b", 0.72, 1.0, 1.0, 1000.0)], BINS)
+    assert pack_items(items, bins).select("container").distinct().count() == packing.math.ceil(sum(10 + i % 700 for i in range(1400)) / 720)

@@ -12,9 +12,11 @@ three items that fits it exactly, as long as the counts allow, and only what no
 combination fills exactly is placed best-fit (the longest item that fits).
 
 A manifest may hold any share of all rows, so it is packed in blocks of at most
-``BLOCK`` items, each a task of its own; the containers that a block leaves
-poorly filled are taken apart and packed again together with those of the other
-blocks of their manifest, again in blocks.
+``BLOCK`` items, each a task of its own. The blocks then exchange: all containers
+of a manifest of several blocks, ranked by their fill, are dealt into new blocks,
+so that what any block left poorly filled meets; a new block is packed again as a
+whole and keeps its former containers unless that saves some. Rounds go on for a
+manifest until one saves no container.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.session import cut_lineage, spread
 from tidewater.sources.tables import first_rows
 
 #: Items packed in one task; bounds memory and time of a group.
-BLOCK = 500
-#: Containers filled less than this are taken apart for the second round.
-POOR = 0.6
+BLOCK = 2000
+#: Steps of fill by which containers are ranked for the exchange between blocks.
+STEPS = 1000
 
 
 class Stock:
@@ -78,11 +80,11 @@ class Sums:
     one length and the pair that complements it.
     """
 
-    def __init__(self, stock: Stock) -> None:
+    def __init__(self, stock: Stock, capacity: int) -> None:
         self.pairs: dict[int, list[tuple[int, int]]] = {}
         ls = stock.lengths
         for i, a in enumerate(ls):
-            for b in ls[i:]:
+            for b in ls[i : bisect.bisect_right(ls, capacity - a)]:  # a longer sum fits no gap
                 self.pairs.setdefault(a + b, []).append((b, a))
 
     def _combinations(self, stock: Stock, gap: int) -> Iterator[tuple[int, ...]]:
@@ -100,6 +102,8 @@ class Sums:
         for combo in self._combinations(stock, gap):
             if any(len(stock.by.get(x, ())) < combo.count(x) for x in combo):
                 continue
+            if sum(stock.by[x][0][0] for x in combo) > room + 1e-9:  # not even the lightest pieces fit
+                continue
             got, left = [], room
             for x in combo:
                 p = stock.take(x, left)
@@ -120,7 +124,7 @@ def fill(pieces: list[tuple[int, float, int]], capacity: int, most_weight: float
     ``pieces``: (length, weight, number). A piece beyond the capacity stands alone.
     """
     stock = Stock(pieces)
-    sums = Sums(stock)
+    sums = Sums(stock, capacity)
     out = []
     while stock.count:
         length = stock.lengths[-1]
@@ -235,7 +239,7 @@ def pack_block(items: list[tuple[int, int, float, float, float, float]], dims: t
 ASSIGNED = "manifest_id long, item_row_id long, part int, parts int, oversized boolean, container string, fill double, l double, w double, h double, weight_kg double"
 _PIECE = "manifest_id long, item_row_id long, part int, parts int, oversized boolean, l double, w double, h double, weight_kg double, length double, width double, height double, max_weight_kg double, bin_type string"
 
-_PACKED = _PIECE + ", fill double, container string, settled boolean"
+_PACKED = _PIECE + ", fill double, container string, whole boolean, saved boolean"
 
 
 def item_rows(items: DataFrame, bins: DataFrame) -> DataFrame:
@@ -276,28 +280,48 @@ def _pieces(rows: DataFrame) -> DataFrame:
     return rows.where(known).select(*cols).mapInPandas(run, _PIECE)
 
 
-def _blocked(pieces: DataFrame, salt: int) -> DataFrame:
-    """Adds ``_block``: pieces of a manifest and container type in blocks of about BLOCK, by size of their counts."""
+def _blocked(pieces: DataFrame) -> DataFrame:
+    """Adds ``_block`` and ``whole``: pieces of a manifest and container type in blocks of about BLOCK, by hash; whole if one holds all."""
     n = pieces.groupBy("manifest_id", "bin_type").agg(F.count("*").alias("_n"))
     j = pieces.join(n, ["manifest_id", "bin_type"])
     blocks = F.ceil(F.col("_n") / BLOCK)
-    j = j.withColumn("_blocks", blocks.cast("int"))
-    return j.withColumn("_block", F.pmod(F.xxhash64("item_row_id", "part", F.lit(salt)), blocks).cast("int")).drop("_n")
+    return j.withColumn("whole", blocks == 1).withColumn("_block", F.pmod(F.xxhash64("item_row_id", "part", F.lit(1)), blocks).cast("int")).drop("_n")
+
+
+def _ranked(packed: DataFrame) -> DataFrame:
+    """Sets ``_block``: a manifest's containers in blocks of about BLOCK pieces, from the emptiest to the fullest.
+
+    Ranked by counts per step of fill, so no window holds a manifest's containers;
+    within a step the hash of the container decides.
+    """
+    keys = ["manifest_id", "bin_type"]
+    r = packed.withColumn("_step", F.floor(F.least("fill", F.lit(1.0)) * STEPS))
+    steps = r.groupBy(*keys, "_step").agg(F.count("*").alias("_in"))
+    one = Window.partitionBy(*keys)
+    steps = steps.withColumn("_n", F.sum("_in").over(one)).withColumn("_to", F.sum("_in").over(one.orderBy("_step")))
+    blocks = F.ceil(F.col("_n") / BLOCK)
+    share = F.pmod(F.xxhash64("container"), F.lit(1 << 20)) / (1 << 20)
+    at = F.floor((F.col("_to") - F.col("_in") + share * F.col("_in")) * blocks / F.col("_n"))
+    return r.join(steps, [*keys, "_step"]).withColumn("_block", F.least(at, blocks - 1).cast("int")).drop("_step", "_in", "_n", "_to")
 
 
 def _pack(blocked: DataFrame, name: str) -> DataFrame:
+    """Packs each block; one that is packed already changes, and is ``saved``, only if fewer containers do."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dims = tuple(pdf[c].iloc[0] for c in ("length", "width", "height", "max_weight_kg"))
         pdf = pdf.sort_values(["item_row_id", "part"], ignore_index=True)
         items = list(pdf[["item_row_id", "part", "l", "w", "h", "weight_kg"]].itertuples(index=False, name=None))
         at = {(i, p): k for i, p, k in pack_block(items, dims)}
         pdf["_k"] = [at[i, p] for i, p in zip(pdf.item_row_id, pdf.part, strict=True)]
-        space = max(dims[0] * dims[1] * dims[2], 1e-9)
-        share = (pdf.l * pdf.w * pdf.h / space).groupby(pdf._k).transform("sum")
-        load = (pdf.weight_kg / max(dims[3], 1e-9)).groupby(pdf._k).transform("sum")
-        pdf["fill"] = pd.concat([share, load], axis=1).max(axis=1)
-        pdf["settled"] = (pdf.fill >= POOR) | (pdf._blocks == 1)
-        pdf["container"] = [f"{b}/{name}{x}/{k}" for b, x, k in zip(pdf.bin_type, pdf._block, pdf._k, strict=True)]
+        before = pdf.container.nunique() if "container" in pdf else None
+        pdf["saved"] = before is not None and pdf._k.nunique() < before
+        if before is None or pdf.saved.iloc[0]:
+            space = max(dims[0] * dims[1] * dims[2], 1e-9)
+            share = (pdf.l * pdf.w * pdf.h / space).groupby(pdf._k).transform("sum")
+            load = (pdf.weight_kg / max(dims[3], 1e-9)).groupby(pdf._k).transform("sum")
+            pdf["fill"] = pd.concat([share, load], axis=1).max(axis=1)
+            pdf["container"] = [f"{b}/{name}{x}/{k}" for b, x, k in zip(pdf.bin_type, pdf._block, pdf._k, strict=True)]
         return pdf[[c.split()[0] for c in _PACKED.split(", ")]]
 
     return spread(blocked, "manifest_id", "bin_type", "_block").groupBy("manifest_id", "bin_type", "_block").applyInPandas(run, _PACKED)
@@ -312,10 +336,15 @@ def pack_items(items: DataFrame, bins: DataFrame) -> DataFrame:
     type are not packed. See ``item_rows`` for nulls and repeats.
     """
     pieces = _pieces(item_rows(items, bins))
-    first = cut_lineage(_pack(_blocked(pieces, 1), "a"))
-    again = first.where(~F.col("settled")).select(*[c.split()[0] for c in _PIECE.split(", ")])
-    both = first.where("settled").unionByName(_pack(_blocked(again, 2), "b"))
-    return both.select(*[c.split()[0] for c in ASSIGNED.split(", ")])
+    first = cut_lineage(_pack(_blocked(pieces), "a"))
+    done, going, n = first.where("whole"), first.where("not whole"), 0
+    while not going.isEmpty():
+        n += 1
+        r = cut_lineage(_pack(_ranked(going), f"b{n}."))
+        better = r.where("saved").select("manifest_id", "bin_type").distinct()
+        done = done.unionByName(r.join(better, ["manifest_id", "bin_type"], "left_anti"))
+        going = r.join(better, ["manifest_id", "bin_type"], "left_semi")
+    return done.select(*[c.split()[0] for c in ASSIGNED.split(", ")])
 
 
 def oversized_items(packed: DataFrame) -> DataFrame:
