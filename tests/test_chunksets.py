@@ -56,3 +56,11 @@ def test_audit_and_coverage(frame):
     heads = frame([(1, "Hire Payment"), (1, "Arbitration")], "doc_id long, heading string")
     got = {x.doc_id: x for x in cs.coverage(raw, raw, src, heads).collect()}
     assert got[1].coverage_pct == 50 and "extraction lost words" in got[1].issues and got[2].coverage_pct == 100
+
+
+def test_every_chunk_has_one_embedding(spark, sf):
+    from tidewater.queries import catalogue
+
+    got = [r.id for r in catalogue.queries()["chunk_embeddings"](spark, sf).select("id").collect()]
+    ids = {r.id for r in spark.read.parquet(f"{sf}/document_chunks.parquet").select("id").where("id is not null").collect()}
+    assert len(got) == len(ids) and set(got) == ids

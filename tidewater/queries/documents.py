@@ -10,6 +10,7 @@ from tidewater.operators import grids as gr
 from tidewater.operators import layout as la
 from tidewater.queries.registry import Registry
 from tidewater.queries.texts import _CHUNKS, chunks
+from tidewater.session import spread
 from tidewater.sources import sinks
 from tidewater.sources.tables import first_rows, table
 from tidewater.streaming import streams
@@ -196,4 +197,5 @@ def task_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_embeddings")
 def chunk_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return streams.embed_batches(table(spark, d, "eval_items"), "item_id", "text", streams.hashed_embedding)
+    """Embedding of every chunk's body, one row per id."""
+    return streams.embed_batches(spread(chunks(spark, d, "body"), "id"), "id", "body", streams.hashed_embedding)
