@@ -62,3 +62,22 @@ def test_lookups(frame):
     assert {r.id: r.x for r in b.collect()} == {1: 1.0, 2: 3.0} and [r.id for r in unknown.collect()] == [9]
     f = frame([("a.PDF", None), ("b.xls", ""), ("agent.txt", None), ("x.txt", "My Agencies"), (None, None)], "n string, d string")
     assert [r.c for r in f.select(so.file_class(F.col("n"), F.col("d")).alias("c")).collect()] == ["vessel", "agency", "agency", "agency", "vessel"]
+
+
+def test_best_sections_asks_for_every_item(spark, sf):
+    """Each item but the last of its suite has an answer: the one of a higher id with the best score, of equals the smallest id."""
+    import re
+
+    from tidewater.queries import catalogue, structure
+
+    items = {}
+    for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect():
+        items.setdefault(r.suite, []).append((r.item_id, r.text.lower(), set(re.findall(r"\b\w{3,}\b", r.text.lower()))))
+    want = {}
+    for suite, rows in items.items():
+        for i, t, a in rows:
+            scored = [(min(100.0, len(a & b) / len(a | b) * 100 + sum(20 for p in structure.PHRASES if p in t and p in u)), -j) for j, u, b in rows if j > i and a & b]
+            if scored:
+                want[suite, i] = (-max(scored)[1], round(max(scored)[0], 6))
+    got = {(r.suite, r.section_id): (r.table_id, round(r.score, 6)) for r in catalogue.queries()["best_sections"](spark, sf).collect()}
+    assert got == want and len(got) == 237

@@ -111,10 +111,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
-def phrase_score(a: Column, b: Column, text: Column, phrases: list[str]) -> Column:
-    """Overlap in per cent plus 20 for each phrase in the text, 100 at most."""
-    bonus = sum((F.when(F.contains(F.lower(text), F.lit(p)), 20.0).otherwise(0.0) for p in phrases), F.lit(0.0))
-    return F.least(F.lit(100.0), jaccard(a, b) * 100 + bonus)
+def relevance_words(text: Column) -> Column:
+    """Distinct words of three and more letters, digits and underscores, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w{3,})\b"), F.lit(1)))
+
+
+def phrase_score(a: Column, b: Column, phrases: list[str]) -> Column:
+    """Overlap of two texts' words in per cent plus 20 for each phrase that both hold, 100 at most."""
+    held = lambda c, p: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(p))
+    bonus = sum((F.when(held(a, p) & held(b, p), 20.0).otherwise(0.0) for p in phrases), F.lit(0.0))
+    return F.least(F.lit(100.0), jaccard(relevance_words(a), relevance_words(b)) * 100 + bonus)
 
 
 def is_junk(body: Column) -> Column:

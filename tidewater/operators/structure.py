@@ -146,16 +146,16 @@ def first_match_backfill(df: DataFrame, lookup: DataFrame, on: list[str], target
     return df.join(one, on, "left").withColumn(target, F.coalesce(target, "_v")).select(*df.columns)
 
 
-def best_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, score: Column, least: float) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, score: Column, least: float, allowed: Column | None = None) -> DataFrame:
     """(left_id, right_id, score): the best right row of each left one within its key, above ``least``; of equals the smallest id.
 
     Sections and tables of one document meet on the document and on a shared word
-    of four letters and more, which every score above the limit needs.
+    of ``relevance_words``. ``allowed``: which pairs of ids count; all by default.
     """
-    word = lambda c: F.explode(F.array_distinct(tx.significant_words(F.col(c))))
+    word = lambda c: F.explode(tx.relevance_words(F.col(c)))
     lw = left.select(*on, left_id, word("section_text").alias("_w"))
     rw = right.select(*on, right_id, word("table_text").alias("_w"))
-    pairs = lw.join(rw, [*on, "_w"]).select(*on, left_id, right_id).distinct()
+    pairs = lw.join(rw, [*on, "_w"]).where(F.lit(True) if allowed is None else allowed).select(*on, left_id, right_id).distinct()
     j = pairs.join(left, [*on, left_id]).join(right, [*on, right_id]).withColumn("score", score).where(F.col("score") > least)
     return j.groupBy(*on, left_id).agg(F.max_by(F.struct(right_id, "score"), F.struct("score", -F.col(right_id))).alias("r")).select(*on, left_id, f"r.{right_id}", "r.score")
 

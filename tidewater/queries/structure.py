@@ -184,14 +184,18 @@ def document_particulars(spark: SparkSession, d: str) -> DataFrame:
     return so.particulars(c, "document_id", "id", "title", "body")
 
 
+#: Phrases that make two texts more alike (fixed values).
+PHRASES = ["speed", "consumption", "fuel", "knots", "lifting", "equipment", "crane"]
+
+
 @query("best_sections")
 def best_sections(spark: SparkSession, d: str) -> DataFrame:
     """For every item of the held-out sets the most similar one of the same suite with a higher id."""
     e = table(spark, d, "eval_items")
-    left = e.where("item_id % 2 = 0").select("suite", F.col("item_id").alias("section_id"), F.col("text").alias("section_text"))
-    right = e.where("item_id % 2 = 1").select("suite", F.col("item_id").alias("table_id"), F.col("text").alias("table_text"))
-    score = tx.phrase_score(tx.significant_words(F.col("section_text")), tx.significant_words(F.col("table_text")), F.col("table_text"), ["laytime"])
-    return so.best_match(left, right, ["suite"], "section_id", "table_id", score, 20.0)
+    left = e.select("suite", F.col("item_id").alias("section_id"), F.col("text").alias("section_text"))
+    right = e.select("suite", F.col("item_id").alias("table_id"), F.col("text").alias("table_text"))
+    score = tx.phrase_score(F.col("section_text"), F.col("table_text"), PHRASES)
+    return so.best_match(left, right, ["suite"], "section_id", "table_id", score, 0.0, F.col("table_id") > F.col("section_id"))
 
 
 @query("titled_share", f"SELECT document_id, count(*) AS chunks, count(*) FILTER (title IS NOT NULL AND title <> '') AS titled FROM {_CHUNKS} WHERE document_id IS NOT NULL GROUP BY 1")
