@@ -2,12 +2,14 @@
 
 Latent semantic retrieval. Passages are windows of ``WINDOW`` words, weighted by
 TF-IDF with the document frequencies of the whole corpus. A randomised SVD over
-all passages of the corpus (one pass: every task multiplies its part of the Gram
+the items' windows and those document windows whose words all belong to the item
+vocabulary (one pass: every task multiplies its part of the Gram
 matrix with the same random matrix, the products are added up, and a Nystrom
 step gives the right singular vectors) yields a latent space of ``RANK``
 dimensions, in which passages of the documents are compared with those of the
 held-out items by cosine. Candidates are then checked word by word for the
-longest common run, and for the item's answer.
+longest common run, and for the item's answer; longest common subsequences, which
+would find paraphrases, are not computed.
 
 A common run of ``RUN`` words contains, wherever it starts, a whole window of
 the document's partition into windows of half that length, so comparing disjoint
