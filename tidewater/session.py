@@ -31,11 +31,14 @@ def build_session(app: str = "tidewater", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a local folder is made.
+    Where the setting is absent a local folder is made on a local master; on a
+    cluster, whose machines would not share it, that is an error.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"tidewater-{sc.applicationId}")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -59,17 +62,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-#: Inputs below this size may be repartitioned to use all cores.
-SMALL = 1 << 30
+#: Inputs below this size, by the plan's statistics, are repartitioned before a map-only Python stage: such a file has too few row groups to be read by many tasks.
+SMALL = 1 << 25
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a small input of few files over all cores before a map-only Python stage; larger inputs keep their splits."""
+    """Spreads a small input over all cores before a map-only Python stage; larger inputs keep the splits of their scan."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(2 * spark.sparkContext.defaultParallelism, key)
 
 
 def ship(spark: SparkSession) -> None:
