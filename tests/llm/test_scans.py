@@ -3,9 +3,15 @@
 import random
 
 from tidewater.llm import scans
-from tidewater.llm.scans import CONFUSIONS, Trie, Words, clean_layout, noisy_rows, reflow, repair_scans, word_like
+from tidewater.llm.scans import CONFUSIONS, Trie, clean_layout, noisy_rows, reflow, repair_scans, word_like
+
+COUNTS = {"redelivery": 50, "sub-charterers": 40, "off-hire": 30, "officers": 20, "delivery": 60}
+
+
+def WORDS(whole, hyphened, capital):
+    return COUNTS.get(hyphened, 0) <= COUNTS.get(whole, 0) and (COUNTS.get(whole, 0) > 0 or not capital)
+
 
-WORDS = Words({"redelivery": 50, "sub-charterers": 40, "off-hire": 30, "officers": 20, "delivery": 60}, 10_000)
 LINE = "Hire shall be paid every 24 days in advance to the account"
 
 
@@ -24,36 +30,61 @@ def test_breaks():
     assert clean_layout("the rede-\n\np. 3\nlivery of it and more words here", WORDS)[3] == 1
 
 
-def fewest(token, word):
-    """Fewest disjoint confusions that turn the token into the word, trying all alignments."""
+def cheapest(token, word, confusions, other):
+    """Least cost that turns the token into the word, trying all alignments: confusions cost 1, other edits of a character ``other``."""
     best = {(0, 0): 0}
     for i in range(len(token) + 1):
         for j in range(len(word) + 1):
             k = best.get((i, j))
             if k is None:
                 continue
-            steps = [(r, p, 1) for r, p in CONFUSIONS if token.startswith(r, i) and word.startswith(p, j)]
-            if i < len(token) and j < len(word) and token[i] == word[j]:
-                steps.append((token[i], word[j], 0))
-            for r, p, c in steps:
-                to = (i + len(r), j + len(p))
-                best[to] = min(best.get(to, 99), k + c)
-    return best.get((len(token), len(word)), 99)
+            steps = [(len(r), len(p), 1) for r, p in confusions if token.startswith(r, i) and word.startswith(p, j)]
+            steps += [(1, 0, other), (0, 1, other), (1, 1, 0 if i < len(token) and j < len(word) and token[i] == word[j] else other)]
+            for a, b, c in steps:
+                if i + a <= len(token) and j + b <= len(word):
+                    best[i + a, j + b] = min(best.get((i + a, j + b), 99), k + c)
+    return best[len(token), len(word)]
 
 
 def test_retrieval_is_complete():
     rng = random.Random(2)
-    words = ["hours", "have", "bold", "hold", "deck", "named", "ning", "ring", "under", "tion", "time", "corn", "com", "days", "clays", "lading", "gel", "the"]
+    words = ["hours", "have", "bold", "hold", "deck", "named", "ning", "ring", "under", "tion", "time", "corn", "com", "days", "clays", "lading", "gel", "the", "charter", "laytime", "vessel", "freight", "notice"]
     trie = Trie(words)
+    tokens = ["chorter", "chartev", "freiqht", "freght", "frreight", "", "x"]
     for _ in range(300):
         t = list(rng.choice(words))
         for read, printed in rng.sample(CONFUSIONS, 3):
             s = "".join(t)
             if printed in s and rng.random() < 0.7:
                 t = list(s.replace(printed, read, 1))
-        token = "".join(t)
-        want = {w: k for w in words if w != token and 0 < (k := fewest(token, w)) <= 2}
-        assert trie.within(token, 2) == want, token
+        if rng.random() < 0.3:
+            t[rng.randrange(len(t))] = rng.choice("aeixq")
+        tokens.append("".join(t))
+    for limit in (1, 2, 3):
+        got = {(k, w): c + 2 * o for k, w, c, o in trie.within(tokens, limit)}
+        want = {(k, w): d for k, t in enumerate(tokens) for w in words if 0 < (d := cheapest(t, w, CONFUSIONS, 2)) <= limit}
+        assert got == want
+    assert {w for k, w, *_ in trie.within(tokens[:5], 2)} >= {"charter", "freight"}
+
+
+def test_plain_edit_distance():
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+    words, tokens = sorted({make() for _ in range(80)}), [make() for _ in range(60)]
+    for limit in (1, 2, 3):
+        got = {(k, w): o for k, w, _, o in Trie(words, (), 1).within(tokens, limit)}
+        assert got == {(k, w): d for k, t in enumerate(tokens) for w in words if 0 < (d := cheapest(t, w, (), 1)) <= limit}
+    assert Trie([]).within(["a"], 2) == [] and Trie(["a"]).within([], 2) == []
+
+
+def test_many_tries(spark, monkeypatch):
+    """Dealing words and tokens to many tries and parts changes nothing."""
+    rows = [(i, "the hoiirs of dclivery and the noticc") for i in range(1)] + [(i, "the hours of delivery and the notice") for i in range(10, 400)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    once = sorted(map(tuple, repair_scans(df).collect()))
+    monkeypatch.setattr(scans, "SHARD", 2)
+    monkeypatch.setattr(scans, "TOKENS", 1)
+    assert sorted(map(tuple, repair_scans(df).collect())) == once and once[0][1] == "the hours of delivery and the notice"
 
 
 def test_word_like():
