@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from tidewater.llm import leakage
-from tidewater.llm.leakage import RUN, find_leaks, words_of
+from tidewater.llm.leakage import RUN, SHARE, common_words, find_leaks, find_paraphrases, longest_run, words_of
 
 
 def test_words():
@@ -44,3 +46,53 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)
     assert {(r.doc_id, r.item_id) for r in find_leaks(df, it).collect()} == want
     assert find_leaks(df.where("false"), it).count() == 0 and find_leaks(df, it.where("false")).count() == 0
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
+
+
+def test_runs_and_subsequences():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = (np.array(rng.choices(range(6), k=rng.randint(1, 30)), np.int32) for _ in range(2))
+        assert common_words(a, b) == plain_common(a.tolist(), b.tolist())
+        shift = rng.randint(-len(b) + 1, len(a) - 1)
+        best = run = 0
+        for i, w in enumerate(b.tolist()):
+            run = run + 1 if 0 <= i + shift < len(a) and a[i + shift] == w else 0
+            best = max(best, run)
+        assert longest_run(a, b, shift) == best
+
+
+def test_paraphrases_against_brute_force(spark):
+    """Of the documents that hold SHARE of an item in order within its length and a half, at least 0.9 are found."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(900)]
+    weights = [1 / (i + 3) for i in range(900)]
+    pick = lambda k: rng.choices(vocab, weights, k=k)
+    items = [(i, " ".join(pick(rng.randint(24, 50)))) for i in range(40)]
+    docs, planted = [], set()
+    for d in range(600):
+        words = pick(rng.randint(0, 120))
+        if d % 4 == 0:
+            i, t = rng.choice(items)
+            told = []
+            for w in t.split():
+                x = rng.random()
+                told += [] if x < 0.05 else [w, rng.choice(vocab)] if x < 0.1 else [rng.choice(vocab)] if x < 0.2 else [w]
+            at = rng.randint(0, len(words))
+            words = words[:at] + told + words[at:]
+            planted.add((d, i))
+        docs.append((d, " ".join(words)))
+    by_item, by_doc = dict(items), dict(docs)
+    runs = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, i in planted if (d, i) not in runs and plain_common(by_doc[d].split(), by_item[i].split()) >= (SHARE + 0.1) * len(by_item[i].split())}
+    got = {(r.doc_id, r.item_id) for r in find_paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
+    assert all(plain_common(by_doc[d].split(), by_item[i].split()) >= SHARE * len(by_item[i].split()) for d, i in got) and len(got - planted) <= 0.1 * len(got)

@@ -131,6 +131,13 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"), F.count_if("answer").alias("with_answer"))
 
 
+@query("p9_paraphrases")
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold most of an item's words in order without a run of them."""
+    found = leakage.find_paraphrases(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("common").alias("common"), F.max("answer").alias("answer"))
+
+
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noisy_rows(table(spark, d, "document_chunks")).select("chunk_id")

@@ -2,20 +2,24 @@
 
 Latent semantic retrieval. Passages are windows of ``WINDOW`` words, weighted by
 TF-IDF with the document frequencies of the whole corpus. A randomised SVD over
-the items' windows and those document windows whose words all belong to the item
-vocabulary (one pass: every task multiplies its part of the Gram
-matrix with the same random matrix, the products are added up, and a Nystrom
+the items' windows and the corpus' windows of which at least ``KNOWN`` words
+belong to the item vocabulary (one pass: every task multiplies its part of the
+Gram matrix with the same random matrix, the products are added up, and a Nystrom
 step gives the right singular vectors) yields a latent space of ``RANK``
-dimensions, in which passages of the documents are compared with those of the
-held-out items by cosine. Candidates are then checked word by word for the
-longest common run, and for the item's answer; longest common subsequences, which
-would find paraphrases, are not computed.
+dimensions. Passages of documents and items that are near each other in it by
+cosine are candidates. They are found through buckets: signs of ``BITS`` random
+projections of the latent vector, in ``TABLES`` tables; only passages that share
+a bucket are compared.
+
+Each candidate places an item beside a document. There the longest run of equal
+words is counted (``find_leaks``), and for paraphrases the longest common
+subsequence of the item with that part of the document (``find_paraphrases``),
+and whether the item's answer stands in the document.
 
 A common run of ``RUN`` words contains, wherever it starts, a whole window of
-the document's partition into windows of half that length, so comparing disjoint
-document windows with all item windows loses no leak; two equal windows have a
-cosine of 1. A document window with a word that no item has cannot equal an item
-window and is left out before the comparison.
+the document's partition into windows of half that length, so disjoint document
+windows and all item windows suffice. Equal windows have equal signs, whole
+numbers being added up, and a cosine of 1: no leak is lost to the buckets.
 
 The items are a small stated query set; they are taken in blocks of at most
 ``BLOCK_WORDS`` words, each block compared with all rows, so what is broadcast is
@@ -40,11 +44,16 @@ RUN = 12
 WINDOW = (RUN + 1) // 2
 RANK = 32
 OVERSAMPLE = 8
-COSINE = 0.995
-BLOCK_WORDS = 200_000
+#: Words of a window that items must know for it to be a passage.
+KNOWN = WINDOW // 2
+#: Least cosine of a candidate; signs per bucket, and tables of buckets.
+COSINE, BITS, TABLES = 0.8, 16, 16
+#: Share of an item's words that a paraphrase holds in order.
+SHARE = 0.6
+BLOCK_WORDS = 100_000
 SEED = 7
 _CHUNKS = 64
-_ROWS = 256
+_ROWS = 4096
 
 _WORD = re.compile(r"[^\W_]+")
 _ANSWER = re.compile(r"\banswer\s*[:=]\s*(.+)", re.I | re.S)
@@ -131,11 +140,7 @@ def document_frequencies(coded: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words x rank) of the TF-IDF passages of all rows and items, by a randomised SVD.
-
-    Passages are the windows whose words all belong to the item vocabulary, the
-    only ones that can be compared.
-    """
+    """Right singular vectors (words x rank) of the TF-IDF passages of all rows and items, by a randomised SVD."""
     n = len(items.vocabulary)
     k = min(rank + OVERSAMPLE, n)
     omega = np.random.default_rng(SEED).standard_normal((n, k))
@@ -145,7 +150,7 @@ def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
         """Adds (A'A) om of these passages."""
         for i in range(0, len(windows), 8192):
             w = windows[i : i + 8192]
-            x = weights[w]
+            x = np.where(w >= 0, weights[w], 0.0)
             y = np.einsum("ij,ijk->ik", x, om[w])
             np.add.at(into, w.ravel(), (x[:, :, None] * y[:, None, :]).reshape(-1, om.shape[1]))
 
@@ -153,7 +158,7 @@ def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
         weights, om = shared.value
         acc = np.zeros_like(om)
         for b in batches:
-            w = _whole_windows(b["codes"])[0]
+            w = _passages(b["codes"])[0]
             product(w, weights, om, acc)
         yield pd.DataFrame({"chunk": range(_CHUNKS), "data": [acc[c::_CHUNKS].tobytes() for c in range(_CHUNKS)]})
 
@@ -174,75 +179,138 @@ def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     return u[:, :rank]
 
 
-def _whole_windows(codes: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(windows of known words only, their document in the batch, their first word, all documents' codes)."""
+def _passages(codes: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(windows of at least ``KNOWN`` known words, their document in the batch, their first word, all documents' codes)."""
     docs = [np.frombuffer(c, np.int32) for c in codes]
     cut = [_blocks(c) for c in docs]
     owner = np.repeat(np.arange(len(docs)), [len(c) for c in cut])
     place = np.concatenate([np.arange(len(c)) for c in cut] or [np.zeros(0, int)]) * WINDOW
     w = np.concatenate(cut or [np.zeros((0, WINDOW), np.int32)])
-    whole = (w >= 0).all(1)
-    return w[whole], owner[whole], place[whole], docs
-
-
-def _project(windows: np.ndarray, loadings: np.ndarray) -> np.ndarray:
-    x = loadings[windows[:, 0]].copy()
-    for j in range(1, WINDOW):
-        x += loadings[windows[:, j]]
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return (x / np.where(norm > 0, norm, 1.0)).astype(np.float32)
-
+    own = (w >= 0).sum(1) >= KNOWN
+    return w[own], owner[own], place[own], docs
+
+
+class Buckets:
+    """Latent vectors of the items' windows, and which of them share the signs of their projections."""
+
+    def __init__(self, windows: np.ndarray, loadings: np.ndarray) -> None:
+        self.windows = windows
+        self.loadings = np.vstack([loadings, np.zeros((1, loadings.shape[1]))])  # the last row stands for unknown words
+        planes = np.random.default_rng(SEED).standard_normal((loadings.shape[1], BITS * TABLES))
+        signs = self.loadings @ planes
+        self.signs = np.rint(signs * ((1 << 24) / max(np.abs(signs).max(initial=0.0), 1e-30))).astype(np.int32)
+        self.vectors = self._vectors(windows)
+        codes = self._codes(windows)
+        self.order = np.argsort(codes, axis=0, kind="stable")
+        at = np.arange(1 << BITS)
+        listed = np.take_along_axis(codes, self.order, 0)
+        self.start = np.stack([np.searchsorted(listed[:, t], at) for t in range(TABLES)])
+        self.stop = np.stack([np.searchsorted(listed[:, t], at, "right") for t in range(TABLES)])
+
+    def _vectors(self, windows: np.ndarray) -> np.ndarray:
+        x = self.loadings[windows[:, 0]].copy()
+        for j in range(1, WINDOW):
+            x += self.loadings[windows[:, j]]
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return (x / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+
+    def _codes(self, windows: np.ndarray) -> np.ndarray:
+        """Bucket of each window in each table."""
+        x = self.signs[windows[:, 0]].copy()
+        for j in range(1, WINDOW):
+            x += self.signs[windows[:, j]]
+        return np.packbits(x > 0, axis=1).view(np.dtype(f"u{BITS // 8}"))
+
+    def candidates(self, windows: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window numbers, item window numbers) of the pairs that share a bucket and whose cosine reaches the threshold."""
+        n = len(self.windows)
+        for i in range(0, len(windows), _ROWS):
+            w = windows[i : i + _ROWS]
+            codes = self._codes(w)
+            met = []
+            for t in range(TABLES):
+                lo, hi = self.start[t, codes[:, t]], self.stop[t, codes[:, t]]
+                k = hi - lo
+                if k.any():
+                    who = np.repeat(np.arange(len(w)), k)
+                    nth = np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo, k)
+                    met.append(who * n + self.order[nth, t])
+            if not met:
+                continue
+            a, b = np.divmod(np.unique(np.concatenate(met)), n)
+            near = np.einsum("ij,ij->i", self._vectors(w)[a], self.vectors[b]) >= cosine - 1e-4
+            if near.any():
+                yield a[near] + i, b[near]
+
+
+def longest_run(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
+    """Length of the longest run of equal words with the item's first word beside word ``shift`` of the document."""
+    lo, hi = max(0, shift), min(len(doc), shift + len(item))
+    same = doc[lo:hi] == item[lo - shift : hi - shift]
+    breaks = np.nonzero(~same)[0]
+    edges = np.concatenate([[-1], breaks, [len(same)]])
+    return int(np.diff(edges).max()) - 1
+
+
+def common_words(doc: np.ndarray, item: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit-parallel over the item's words."""
+    bits: dict[int, int] = defaultdict(int)
+    for i, w in enumerate(item.tolist()):
+        bits[w] |= 1 << i
+    full = (1 << len(item)) - 1
+    v = full
+    for w in doc.tolist():
+        u = v & bits.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(item) - v.bit_count()
+
+
+LEAKS = "doc_id long, item_id long, run int, common int, share double, answer boolean"
+
+
+def _item_blocks(items: DataFrame) -> Iterator[Items]:
+    rows, size = [], 0
+    for r in items.where("item_id is not null").select("item_id", "text").toLocalIterator():
+        rows.append((r.item_id, r.text))
+        size += len(words_of(r.text))
+        if size >= BLOCK_WORDS:
+            yield Items(rows)
+            rows, size = [], 0
+    yield Items(rows)
 
-def candidates(windows: np.ndarray, loadings: np.ndarray, queries: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window numbers, query numbers) of the pairs whose latent cosine reaches the threshold."""
-    for i in range(0, len(windows), _ROWS):
-        x = _project(windows[i : i + _ROWS], loadings)
-        a, b = np.nonzero(x @ queries.T >= cosine)
-        if len(a):
-            yield a + i, b
 
+def retrieve(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", cosine: float = COSINE, loose: bool = False) -> DataFrame:
+    """Documents near an item: (doc_id, item_id, longest run, longest common subsequence, its share of the item, whether the item's answer is in the document).
 
-def common_run(doc: np.ndarray, item: np.ndarray, d: int, q: int) -> int:
-    """Length of the common run through word ``d`` of the document and ``q`` of the item."""
-    left = 0
-    while left < min(d, q) and doc[d - left - 1] == item[q - left - 1]:
-        left += 1
-    right = 0
-    top = min(len(doc) - d, len(item) - q)
-    while right < top and doc[d + right] == item[q + right]:
-        right += 1
-    return left + right
+    Rows are those with a run of ``RUN`` words or, if ``loose``, a common
+    subsequence of ``SHARE`` of the item; without ``loose``, subsequences are not
+    counted and read 0. Null and empty texts and rows with null keys give no row;
+    of an item listed twice each text counts. Items shorter than ``RUN`` words
+    are not sought. Repeated document rows give repeated results.
+    """
+    out = None
+    for own in _item_blocks(items):
+        if len(own.windows):
+            found = _near(df, own, key, text, cosine, loose)
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else df.sparkSession.createDataFrame([], LEAKS)
 
 
-LEAKS = "doc_id long, item_id long, run int, answer boolean"
+def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that contain at least ``RUN`` consecutive words of an item; see ``retrieve``."""
+    return retrieve(df, items, key, text)
 
 
-def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", cosine: float = COSINE) -> DataFrame:
-    """Documents that contain at least ``RUN`` consecutive words of an item: (doc_id, item_id, longest run, whether the item's answer is in it).
+def find_paraphrases(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", cosine: float = COSINE) -> DataFrame:
+    """Documents that hold ``SHARE`` of an item's words in order, but no run of ``RUN`` of them; see ``retrieve``.
 
-    Null and empty texts and rows with null keys give no row; of an item listed
-    twice each text counts. Items shorter than ``RUN`` words cannot leak.
-    Repeated document rows give repeated results. Map-only after the statistics.
+    Retrieval is approximate here: a paraphrase all of whose windows stay below the
+    cosine, or share no bucket, is missed.
     """
-    spark = df.sparkSession
-    rows, size, blocks = [], 0, []
-    for r in items.where("item_id is not null").select("item_id", "text").toLocalIterator():
-        rows.append((r.item_id, r.text))
-        size += len(words_of(r.text))
-        if size >= BLOCK_WORDS:
-            blocks.append(rows)
-            rows, size = [], 0
-    out = None
-    for block in [*blocks, rows]:
-        own = Items(block)
-        if not len(own.windows):
-            continue
-        found = _leaks_of(df, own, key, text, cosine)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+    return retrieve(df, items, key, text, cosine, True).where(F.col("run") < RUN)
 
 
-def _leaks_of(df: DataFrame, items: Items, key: str, text: str, cosine: float) -> DataFrame:
+def _near(df: DataFrame, items: Items, key: str, text: str, cosine: float, loose: bool) -> DataFrame:
     coded = cut_lineage(encode_words(df, key, text, items.vocabulary))
     seen, total = document_frequencies(coded, len(items.vocabulary))
     idf = np.log((total + 1.0) / (seen + 1.0)) + 1.0
@@ -252,21 +320,26 @@ def _leaks_of(df: DataFrame, items: Items, key: str, text: str, cosine: float) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, codes, windows, places, asked, load = shared.value
-        queries = _project(windows, load)
+        buckets = Buckets(windows, load)
         for b in batches:
-            w, owner, place, docs = _whole_windows(b["codes"])
-            best: dict[tuple[int, int], int] = {}
-            for a, q in candidates(w, load, queries, cosine):
-                same = (w[a] == windows[q]).all(1)
-                for x, y in zip(a[same].tolist(), q[same].tolist(), strict=True):
-                    d = int(owner[x])
+            w, owner, place, docs = _passages(b["codes"])
+            beside: dict[tuple[int, int], set[int]] = defaultdict(set)
+            for a, q in buckets.candidates(w, cosine):
+                for d, x, y in zip(owner[a].tolist(), place[a].tolist(), q.tolist(), strict=True):
                     for k, p in places[y]:
-                        n = common_run(docs[d], codes[k], int(place[x]), p)
-                        if n >= RUN and n > best.get((d, k), 0):
-                            best[d, k] = n
+                        beside[d, k].add(x - p)
             keys = b["key"].tolist()
-            rows = [(int(keys[d]), ids[k], n, _contains(docs[d], asked[k])) for (d, k), n in best.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "answer"])
+            rows = []
+            for (d, k), shifts in beside.items():
+                item = codes[k]
+                most = max(longest_run(docs[d], item, s) for s in shifts)
+                common = 0
+                if loose and most < RUN:
+                    slack = len(item) // 4 + 1
+                    common = max(common_words(docs[d][max(0, s - slack) : s + len(item) + slack], item) for s in shifts)
+                if most >= RUN or common >= SHARE * len(item):
+                    rows.append((int(keys[d]), ids[k], most, common, common / len(item), _contains(docs[d], asked[k])))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "common", "share", "answer"])
 
     return coded.where("key is not null and codes is not null").select("key", "codes").mapInPandas(run, LEAKS)
 
