@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tidewater.llm import leakage
-from tidewater.llm.leakage import RUN, SHARE, common_words, find_leaks, find_paraphrases, longest_run, words_of
+from tidewater.llm.leakage import RUN, SHARE, common_words, find_leaks, find_paraphrases, longest_runs, words_of
 
 
 def test_words():
@@ -67,7 +67,7 @@ def test_runs_and_subsequences():
         for i, w in enumerate(b.tolist()):
             run = run + 1 if 0 <= i + shift < len(a) and a[i + shift] == w else 0
             best = max(best, run)
-        assert longest_run(a, b, shift) == best
+        assert longest_runs([a[:0], a], [b[:0], b], np.array([[1, 1, shift]])).tolist() == [best]
 
 
 def test_paraphrases_against_brute_force(spark):

@@ -11,8 +11,11 @@ ASCII letters and digits are folded into classes.
 
 The bigrams are learned from the corpus itself, by hard expectation
 maximisation over the distinct runs and their neighbours: garbled occurrences
-are counted as what they stand for. All rows are counted; runs rarer than one in
-``FLOOR`` of all runs take no part, which bounds the model.
+are counted as what they stand for. Runs are counted over all rows, and each
+round labels and counts all of them in distributed tasks; the driver and the
+broadcast hold only the resulting tables of bigrams and of runs between their
+neighbours, both of a share of ``FLOOR`` and more, so at most 1/``FLOOR`` rows.
+All thresholds are shares and ratios, so a text reads alike in corpora of any size.
 
 Labelled spans are replaced by their inverse transform and read again, since a
 text may have been garbled twice.
@@ -22,31 +25,31 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.session import cut_lineage, widen
+from tidewater.session import cut_lineage, spread, widen
 
 #: Encodings of the bytes and encodings they are read as (names of Python codecs).
 TRUE = ("utf-8", "cp1252", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "cp437", "cp850", "cp852", "mac-roman", "iso8859-5", "mac-cyrillic")
 READ = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")
 PAIRS = tuple((a, b) for a in TRUE for b in READ if a != b and (a, b) not in {("cp1252", "latin-1")}) + tuple(("utf-8", f"{b}>utf-8>{c}") for b in ("cp1252", "latin-1") for c in ("cp1252", "latin-1"))
 CLEAN, LOST = -1, -2
-#: Runs rarer than one in so many are left out of training; also the most bigrams a model can have.
-FLOOR = 1_000_000
+#: Least share of all bigrams, or of all runs, of an entry of the model.
+FLOOR = 1e-6
 ROUNDS = 4
 #: Log probabilities: to enter a garbled state of UTF-8 or of another encoding, to leave it, per byte that cannot be restored.
 ENTER_UTF8, ENTER_OTHER, LEAVE, LOSS = math.log(1e-2), math.log(1e-3), math.log(0.05), math.log(1e-5)
 REREAD = 3
-#: Where a garbled reading stands at least so often between the same two characters on either side, that evidence counts, at a lower charge.
-SEEN, ENTER_SEEN = 20, math.log(1e-2)
-#: ... if the run itself stands there so many times less often.
-FEWER = 100
+#: Where a garbled reading between the same two characters on either side is at least this share of all runs, that evidence counts, at a lower charge.
+SEEN, ENTER_SEEN = 2e-5, math.log(1e-2)
+#: ... if the run itself stands there so many times less often. SEEN / FEWER is not below FLOOR, so no run left out of the model could object.
+FEWER = 20
 UNKNOWN = 6.0
 
 #: Longer runs are read piece by piece; a multiple of the lengths of UTF-8 characters.
@@ -113,8 +116,8 @@ def _near(s: str) -> str:
 class Model:
     """Bigram log probabilities of clean text, counts of runs between their neighbours, and emission scores of runs."""
 
-    def __init__(self, bigrams: dict[tuple[str, str], float], exact: dict[tuple[str, str, str], int] | None = None) -> None:
-        self.exact = exact or {}
+    def __init__(self, bigrams: dict[tuple[str, str], float], exact: dict[tuple[str, str, str], int] | None = None, runs: int = 0) -> None:
+        self.exact, self.runs = exact or {}, runs
         total: Counter = Counter()
         for (a, _), n in bigrams.items():
             total[a] += n
@@ -170,9 +173,9 @@ class Model:
         """Score by how often the reading and the run itself stand between these neighbours."""
         left, run, right = _near(key[0]), key[1], _near(key[2])
         n, own = self.exact.get((left, text, right), 0), self.exact.get((left, run, right), 0)
-        if n < SEEN or n < FEWER * own or text == run or len(right) < 2:
+        if not n or n < SEEN * self.runs or n < FEWER * own or text == run or len(right) < 2:
             return -math.inf
-        return math.log(n / (own + 0.5)) + ENTER_SEEN - _enter(s)
+        return math.log(n / max(own + 0.5, FLOOR * self.runs)) + ENTER_SEEN - _enter(s)
 
 
 def contexts(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -242,33 +245,35 @@ def restore(text: str, model: Model) -> tuple[str, list[str], bool]:
     return text, pairs, lost
 
 
-def train(counts: dict[tuple[str, str, str], int]) -> Model:
-    """Hard expectation maximisation over distinct runs and their neighbours."""
-    state: dict[tuple[str, str, str], int] = dict.fromkeys(counts, CLEAN)
-    model = Model({})
-    for _ in range(ROUNDS):
-        bigrams: dict[tuple[str, str], float] = defaultdict(float)
-        exact: dict[tuple[str, str, str], int] = defaultdict(int)
-        for key, n in counts.items():
-            left, run, right = key
-            if state[key] == LOST or "�" in run:
-                continue
-            if state[key] >= 0:
-                inv = inverse(run, PAIRS[state[key]])
+def tally(counts: Iterable[tuple[tuple[str, str, str], int]], model: Model | None) -> tuple[Counter, Counter]:
+    """(bigrams, runs between their neighbours) of contexts, garbled ones counted as what the model says they stand for; without a model all are clean."""
+    bigrams: Counter = Counter()
+    exact: Counter = Counter()
+    for (left, run, right), n in counts:
+        if "�" in run:
+            continue
+        if model:
+            x, s = max(((x + _enter(s), s) for s, x in model.relative(left, run, right).items()), default=(0.0, CLEAN))
+            if x > 0 and s >= 0:
+                inv = inverse(run, PAIRS[s])
                 if not inv or inv[1]:
                     continue
                 run = inv[0]
-            exact[_near(left), run, _near(right)] += n
-            a = _fold(left[-1:])
-            for c in (*run, right[0]) if right else run:
-                c = _fold(c)
-                bigrams[a, c] += n
-                a = c
-        model = Model(bigrams, exact)
-        for key in counts:
-            rel = model.relative(*key)
-            x, s = max(((x + _enter(s), s) for s, x in rel.items()), default=(0.0, CLEAN))
-            state[key] = s if x > 0 else CLEAN
+        exact[_near(left), run, _near(right)] += n
+        a = _fold(left[-1:])
+        for c in (*run, right[0]) if right else run:
+            c = _fold(c)
+            bigrams[a, c] += n
+            a = c
+    return bigrams, exact
+
+
+def train(counts: dict[tuple[str, str, str], int]) -> Model:
+    """Hard expectation maximisation over distinct runs and their neighbours, in one process."""
+    model = None
+    for _ in range(ROUNDS):
+        bigrams, exact = tally(counts.items(), model)
+        model = Model(bigrams, exact, sum(counts.values()))
     return model
 
 
@@ -289,12 +294,42 @@ def count_contexts(df: DataFrame, text: str = "body") -> DataFrame:
     return part.groupBy("l", "run", "r").agg(F.sum("n").alias("n"))
 
 
+def _counted(counted: DataFrame, model: Model | None) -> DataFrame:
+    """(kind, a, b, c, n): the tally of all contexts as ``b`` rows (bigrams a, b) and ``e`` rows (runs b between a and c)."""
+    shared = counted.sparkSession.sparkContext.broadcast(None if model is None else (model.p, model.unseen, model.exact, model.runs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+        if shared.value is not None:
+            own = Model({})
+            own.p, own.unseen, own.exact, own.runs = shared.value
+        for b in batches:
+            bigrams, exact = tally((((l, r, t), n) for l, r, t, n in b.itertuples(index=False, name=None)), own)
+            rows = [("b", x, y, "", n) for (x, y), n in bigrams.items()] + [("e", *k, n) for k, n in exact.items()]
+            yield pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n"])
+
+    return counted.select("l", "run", "r", "n").mapInPandas(run, "kind string, a string, b string, c string, n long").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
+
+
 def learn(df: DataFrame, text: str = "body") -> Model:
-    """The model of all rows of ``df``; at most ``FLOOR`` distinct runs reach the driver."""
-    counted = cut_lineage(count_contexts(df, text))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    got = counted.where(F.col("n") * FLOOR >= total).toPandas()
-    return train({(a, b, c): int(n) for a, b, c, n in got.itertuples(index=False, name=None)})
+    """The model of all rows of ``df``, by distributed rounds of labelling and counting."""
+    counted = cut_lineage(spread(count_contexts(df, text), "l", "run", "r"))
+    runs = counted.agg(F.sum("n")).first()[0] or 0
+    model = None
+    for _ in range(ROUNDS):
+        got = _counted(counted, model).persist()
+        total = got.where("kind = 'b'").agg(F.sum("n")).first()[0] or 0
+        kept = got.where(F.col("n") >= FLOOR * F.when(F.col("kind") == "b", total).otherwise(runs)).toPandas()
+        got.unpersist()
+        rows = kept.itertuples(index=False, name=None)
+        bigrams, exact = {}, {}
+        for kind, a, b, c, n in rows:
+            if kind == "b":
+                bigrams[a, b] = int(n)
+            else:
+                exact[a, b, c] = int(n)
+        model = Model(bigrams, exact, runs)
+    return model
 
 
 FIXED = "chunk_id long, restored string, pairs array<string>, lost boolean"
@@ -308,11 +343,11 @@ def repair(df: DataFrame, key: str = "id", text: str = "body", model: Model | No
     restored stays as it was, with ``lost`` set. Other columns play no part.
     """
     m = model or learn(df, text)
-    shared = df.sparkSession.sparkContext.broadcast((m.p, m.unseen, m.exact))
+    shared = df.sparkSession.sparkContext.broadcast((m.p, m.unseen, m.exact, m.runs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model({})
-        own.p, own.unseen, own.exact = shared.value
+        own.p, own.unseen, own.exact, own.runs = shared.value
         for b in batches:
             rows = []
             for k, t in b.itertuples(index=False, name=None):

@@ -42,12 +42,12 @@ from tidewater.session import cut_lineage, widen
 
 RUN = 12
 WINDOW = (RUN + 1) // 2
-RANK = 32
+RANK = 128
 OVERSAMPLE = 8
 #: Words of a window that items must know for it to be a passage.
 KNOWN = WINDOW // 2
 #: Least cosine of a candidate; signs per bucket, and tables of buckets.
-COSINE, BITS, TABLES = 0.8, 16, 16
+COSINE, BITS, TABLES = 0.85, 16, 12
 #: Share of an item's words that a paraphrase holds in order.
 SHARE = 0.6
 BLOCK_WORDS = 100_000
@@ -148,11 +148,19 @@ def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
 
     def product(windows: np.ndarray, weights: np.ndarray, om: np.ndarray, into: np.ndarray) -> None:
         """Adds (A'A) om of these passages."""
+        windows, back = _distinct(windows)
+        times = np.bincount(back, minlength=len(windows))
         for i in range(0, len(windows), 8192):
             w = windows[i : i + 8192]
             x = np.where(w >= 0, weights[w], 0.0)
-            y = np.einsum("ij,ijk->ik", x, om[w])
-            np.add.at(into, w.ravel(), (x[:, :, None] * y[:, None, :]).reshape(-1, om.shape[1]))
+            y = np.einsum("ij,ijk->ik", x, om[w]) * times[i : i + 8192, None]
+            flat = w.ravel()
+            order = np.argsort(flat, kind="stable")
+            order = order[np.searchsorted(flat[order], 0) :]
+            known = flat[order]
+            first = np.nonzero(np.diff(known, prepend=-1))[0]
+            if len(known):
+                into[known[first]] += np.add.reduceat(x.ravel()[order, None] * y[order // WINDOW], first, axis=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, om = shared.value
@@ -190,12 +198,19 @@ def _passages(codes: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return w[own], owner[own], place[own], docs
 
 
+def _distinct(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct windows, the number of each window among them)."""
+    whole = np.ascontiguousarray(windows).view(np.dtype((np.void, windows.dtype.itemsize * WINDOW))).ravel()
+    _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+    return windows[first], back.ravel()
+
+
 class Buckets:
     """Latent vectors of the items' windows, and which of them share the signs of their projections."""
 
     def __init__(self, windows: np.ndarray, loadings: np.ndarray) -> None:
         self.windows = windows
-        self.loadings = np.vstack([loadings, np.zeros((1, loadings.shape[1]))])  # the last row stands for unknown words
+        self.loadings = np.vstack([loadings, np.zeros((1, loadings.shape[1]))]).astype(np.float32)  # the last row stands for unknown words
         planes = np.random.default_rng(SEED).standard_normal((loadings.shape[1], BITS * TABLES))
         signs = self.loadings @ planes
         self.signs = np.rint(signs * ((1 << 24) / max(np.abs(signs).max(initial=0.0), 1e-30))).astype(np.int32)
@@ -212,7 +227,7 @@ class Buckets:
         for j in range(1, WINDOW):
             x += self.loadings[windows[:, j]]
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return (x / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+        return x / np.where(norm > 0, norm, 1.0)
 
     def _codes(self, windows: np.ndarray) -> np.ndarray:
         """Bucket of each window in each table."""
@@ -224,8 +239,11 @@ class Buckets:
     def candidates(self, windows: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window numbers, item window numbers) of the pairs that share a bucket and whose cosine reaches the threshold."""
         n = len(self.windows)
-        for i in range(0, len(windows), _ROWS):
-            w = windows[i : i + _ROWS]
+        own, back = _distinct(windows)
+        order = np.argsort(back, kind="stable")
+        stop = np.cumsum(np.bincount(back, minlength=len(own)))
+        for i in range(0, len(own), _ROWS):
+            w = own[i : i + _ROWS]
             codes = self._codes(w)
             met = []
             for t in range(TABLES):
@@ -239,17 +257,33 @@ class Buckets:
                 continue
             a, b = np.divmod(np.unique(np.concatenate(met)), n)
             near = np.einsum("ij,ij->i", self._vectors(w)[a], self.vectors[b]) >= cosine - 1e-4
-            if near.any():
-                yield a[near] + i, b[near]
-
-
-def longest_run(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
-    """Length of the longest run of equal words with the item's first word beside word ``shift`` of the document."""
-    lo, hi = max(0, shift), min(len(doc), shift + len(item))
-    same = doc[lo:hi] == item[lo - shift : hi - shift]
-    breaks = np.nonzero(~same)[0]
-    edges = np.concatenate([[-1], breaks, [len(same)]])
-    return int(np.diff(edges).max()) - 1
+            a, b = a[near] + i, b[near]
+            k = stop[a] - np.where(a > 0, stop[a - 1], 0)  # all windows equal to each distinct one
+            if len(a):
+                yield order[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(stop[a] - k, k)], np.repeat(b, k)
+
+
+def longest_runs(docs: list[np.ndarray], items: list[np.ndarray], beside: np.ndarray) -> np.ndarray:
+    """For rows (document, item, shift) the longest run of equal words with the item's first word beside word ``shift`` of the document."""
+    flat = np.concatenate(docs)
+    size = np.array([len(d) for d in docs])
+    start = np.cumsum(size) - size
+    width = max((len(c) for c in items), default=0)
+    grid = np.full((len(items), width), -2, np.int32)
+    for k, c in enumerate(items):
+        grid[k, : len(c)] = c
+    out = np.zeros(len(beside), np.int64)
+    for i in range(0, len(beside), 1 << 16):
+        d, k, shift = beside[i : i + (1 << 16)].T
+        run = np.zeros(len(d), np.int64)
+        most = out[i : i + (1 << 16)]
+        for j in range(width):
+            at = shift + j
+            inside = (at >= 0) & (at < size[d])
+            same = inside & (flat[np.where(inside, start[d] + at, 0)] == grid[k, j])
+            run = (run + 1) * same
+            np.maximum(most, run, out=most)
+    return out
 
 
 def common_words(doc: np.ndarray, item: np.ndarray) -> int:
@@ -321,29 +355,46 @@ def _near(df: DataFrame, items: Items, key: str, text: str, cosine: float, loose
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, codes, windows, places, asked, load = shared.value
         buckets = Buckets(windows, load)
+        held = np.array([len(x) for x in places])
+        first = np.cumsum(held) - held
+        at_item, at_word = np.array([x for p in places for x in p]).T
         for b in batches:
             w, owner, place, docs = _passages(b["codes"])
-            beside: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for a, q in buckets.candidates(w, cosine):
-                for d, x, y in zip(owner[a].tolist(), place[a].tolist(), q.tolist(), strict=True):
-                    for k, p in places[y]:
-                        beside[d, k].add(x - p)
-            keys = b["key"].tolist()
+            near = [np.stack([owner[a], place[a], q], 1) for a, q in buckets.candidates(w, cosine)]
             rows = []
-            for (d, k), shifts in beside.items():
-                item = codes[k]
-                most = max(longest_run(docs[d], item, s) for s in shifts)
-                common = 0
-                if loose and most < RUN:
-                    slack = len(item) // 4 + 1
-                    common = max(common_words(docs[d][max(0, s - slack) : s + len(item) + slack], item) for s in shifts)
-                if most >= RUN or common >= SHARE * len(item):
-                    rows.append((int(keys[d]), ids[k], most, common, common / len(item), _contains(docs[d], asked[k])))
+            if near:
+                d, x, q = np.concatenate(near).T
+                times = held[q]
+                nth = np.repeat(first[q], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                beside = np.unique(np.stack([np.repeat(d, times), at_item[nth], np.repeat(x, times) - at_word[nth]], 1), axis=0)
+                rows = _checked(docs, codes, beside, loose)
+            keys = b["key"].tolist()
+            rows = [(int(keys[d]), ids[k], run, common, common / len(codes[k]), _contains(docs[d], asked[k])) for d, k, run, common in rows]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "common", "share", "answer"])
 
     return coded.where("key is not null and codes is not null").select("key", "codes").mapInPandas(run, LEAKS)
 
 
+def _checked(docs: list[np.ndarray], items: list[np.ndarray], beside: np.ndarray, loose: bool) -> list[tuple[int, int, int, int]]:
+    """(document, item, longest run, common words) of the pairs that leak, from rows (document, item, shift) sorted by pair."""
+    runs = longest_runs(docs, items, beside)
+    edge = np.nonzero((np.diff(beside[:, :2], axis=0, prepend=-1) != 0).any(1))[0]
+    out = []
+    for a, b, most in zip(edge.tolist(), [*edge[1:].tolist(), len(beside)], np.maximum.reduceat(runs, edge).tolist(), strict=True):
+        d, k = int(beside[a, 0]), int(beside[a, 1])
+        common = 0
+        if loose and most < RUN and np.isin(items[k], docs[d]).sum() >= SHARE * len(items[k]):
+            item, slack = items[k], len(items[k]) // 4 + 1
+            lo, hi = int(beside[a:b, 2].min()) - slack, int(beside[a:b, 2].max()) + len(item) + slack
+            if hi - lo <= 2 * (len(item) + 2 * slack):
+                common = common_words(docs[d][max(0, lo) : hi], item)
+            else:
+                common = max(common_words(docs[d][max(0, s - slack) : s + len(item) + slack], item) for s in beside[a:b, 2].tolist())
+        if most >= RUN or common >= SHARE * len(items[k]):
+            out.append((d, k, most, common))
+    return out
+
+
 def _contains(doc: np.ndarray, part: np.ndarray) -> bool:
     """Whether the words of ``part`` stand consecutively in the document; an empty part does not."""
     if not len(part) or len(part) > len(doc):
