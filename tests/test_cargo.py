@@ -23,8 +23,14 @@ def test_check_placements(frame):
     h = frame([(1, 10.0, 5.0, 4.0, False, 0.0, 0.0)], "id int, length double, breadth double, height double, has_tween boolean, lower_height double, upper_height double")
     o = frame([(99, 1, None, 0.5, 0.0, 0.0, 1.0, 1.0, 1.0)], "id long, hold_id int, level string, x double, y double, z double, l double, w double, h double")
     got = {r.id: r.reason for r in cg.check_placements(m, h, o, ["hold_id", "level"]).collect()}
-    assert got == {1: "rotation", 2: "may not rotate", 3: "beyond length", 4: None, 5: "overlap", 6: "no measures"} or got[4] in (None, "overlap")
-    assert got[5] == "overlap" and got[3] == "beyond length"
+    assert got == {1: "rotation", 2: "may not rotate", 3: "beyond length", 4: None, 5: "overlap", 6: "no measures"}  # a hold without a tween deck has one level, whatever is asked
+
+
+def test_holds_of_two_vessels_stay_apart(frame):
+    m = frame([(1, "a", 1, None, 0.0, 0.0, 0.0, 0, 3.0, 1.0, 1.0, True), (2, "b", 1, None, 0.0, 0.0, 0.0, 0, 3.0, 1.0, 1.0, True)], "id long, vessel string, hold_id int, level string, x double, y double, z double, rotation_deg int, l double, w double, h double, can_rotate boolean")
+    h = frame([("a", 1, 10.0, 5.0, 4.0, False, 0.0, 0.0), ("b", 1, 2.0, 5.0, 4.0, False, 0.0, 0.0)], "vessel string, id int, length double, breadth double, height double, has_tween boolean, lower_height double, upper_height double")
+    o = m.where("false")
+    assert sorted((r.id, r.reason) for r in cg.check_placements(m, h, o, ["vessel", "hold_id", "level"]).collect()) == [(1, None), (2, "beyond length")]
 
 
 def items(n):
@@ -60,4 +66,5 @@ def test_balance_without_targets(frame):
     t = frame([("v", 1, 10.0), ("v", 2, 10.0)], "vessel string, hold_id int, target_kg double")
     a = frame([("v", 1, 10.0), ("v", 3, 99.0)], "vessel string, hold_id int, weight_kg double")
     assert cg.balance_scores(t, a, "vessel").first().balance == 50.0
-    assert cg.balance_scores(t.where("false"), a, "vessel").count() == 0
+    assert [(r.vessel, r.balance) for r in cg.balance_scores(t.where("false"), a, "vessel").collect()] == [("v", 100.0)]
+    assert cg.balance_scores(t.where("false"), a.where("false"), "vessel").count() == 0

@@ -71,9 +71,12 @@ def test_files(spark, tmp_path):
 def test_landed_pages(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"page-00{i}.jsonl").write_text("".join(f'{{"id": {i * 2 + k}}}\n' for k in range(2)))
-    spark.dataSource.register(fs.LandedPages)
-    got = spark.read.format("landed_pages").option("folder", str(tmp_path)).option("pages", "2").load()
+    got, left = fs.landed_pages(spark, str(tmp_path), 2)
     assert sorted((r.page, r.record) for r in got.collect()) == [(0, '{"id": 0}'), (0, '{"id": 1}'), (1, '{"id": 2}'), (1, '{"id": 3}')]
+    assert [(r.page, r.records) for r in left.collect()] == [(2, 2)]
+    details = spark.createDataFrame([(0, "a"), (2, "b"), (3, "c")], "id long, d string")
+    found = fs.joined_details(spark.range(5), details, "id", "id")
+    assert sorted((r.id, r.d) for r in found.collect()) == [(0, "a"), (1, None), (2, "b")]
 
 
 def test_sinks(spark, frame, tmp_path):

@@ -12,7 +12,7 @@ def one(spark, value, f):
 
 
 @pytest.mark.parametrize(
-    ("text", "want"), [("no ti ce", "notice"), ("Dura tion", "Duration"), ("par ti es", "parties"), ("ﬁnal", "final"), (None, None), ("", ""), ("addi ti onal", "additional")]
+    ("text", "want"), [("no ti ce", "notice"), ("Dura tion", "Duration"), ("par ti es", "parties"), ("ﬁnal", "final"), (None, None), ("", ""), ("addi ti onal", "additional"), ("draf t ing of fi nal tti x", "draf t ing offinal tti x"), ("Instruc tions\nti me", "Instructions\ntime"), ("a tion", "a tion")]
 )
 def test_ligatures(spark, text, want):
     assert one(spark, text, tx.repair_ligatures) == want
@@ -101,3 +101,29 @@ def test_fit_pieces():
 def test_port_match(spark):
     df = spark.createDataFrame([("Rotterdam", "ROTTERDAM"), ("Ras", "Ras Umbara"), ("Umbara Ras", "Ras Umbara Port"), ("X", "Y"), (None, "Y"), ("!!", "a")], "q string, c string")
     assert [r.m for r in df.select(tx.port_match(F.col("q"), F.col("c")).alias("m")).collect()] == ["exact", "prefix", "token-subset", None, None, None]
+
+
+def test_footers_and_stamp(spark):
+    text = "1. Hire\nCP ID: 123\nCP Date: 1 May\nVessel: Amber\nPage 2 of 35 - AMBER 1\nPage 3 of 9\nWORKING COPY\nVessel speed: 12\nPage two of\nend  CP ID: 5 CP Date: 2 May Vessel: X Page 1 of 3 WORKING COPY go on"
+    assert one(spark, text, sg.drop_footers) == "1. Hire\nVessel speed: 12\nPage two of\nend go on"
+    assert one(spark, "Chain id: 77\nx", lambda c: sg.drop_footers(c, ("cp id", "chain id"))) == "x" and one(spark, None, sg.drop_footers) is None
+    assert one(spark, "the ~~W~~ ORKING COPY owners WORKING COPY - shall", sg.drop_watermark) == "the owners shall"
+    assert one(spark, "networking copyist", sg.drop_watermark) == "networking copyist"
+
+
+@pytest.mark.parametrize(
+    ("title", "body", "want"),
+    [("46.", "BIMCO Piracy Clause\n(a) text", ("46. BIMCO Piracy Clause", "(a) text")), ("Clause 7", "War Clause for Time  Charter\nx", ("Clause 7 - War Clause for Time  Charter", "x")), ("46.", "(a) BIMCO is cited\nx", None), ("46.", "12.1 BIMCO is cited", None), ("46. Hire", "BIMCO Piracy Clause", None), ("46.", "BIMCO", None), (None, "BIMCO Piracy Clause", None), ("46.", None, None)],
+)
+def test_promoted_subtitles(spark, title, body, want):
+    t, b = tx.promote_subtitle(F.col("t"), F.col("b"))
+    r = spark.createDataFrame([(title, body)], "t string, b string").select(t.alias("t"), b.alias("b")).first()
+    assert (r.t, r.b) == (want or (title, body))
+
+
+def test_header_fields(spark):
+    from tidewater.operators.grids import header_field
+
+    want = {"PL N°": "item_id", "NR. PLIST": "item_id", "Item No.": "item_id", "Box Description": "description", "COMM.": "description", "Type of packing": "packing_type", "Length (mm)": "length_m", "L": "length_m", "W [mm]": "width_m", "Dimensions [m] H": "height_m", "Volume m3": "volume_m3", "N.W.": "net_weight_kg", "GROSS WEIGHT": "gross_weight_kg", "IMO (Y/N)": "imo_flag", "Remarks": None, "": None}
+    got = {r.v: r.f for r in spark.createDataFrame([(k,) for k in want], "v string").select("v", header_field(F.col("v")).alias("f")).collect()}
+    assert got == want

@@ -5,6 +5,7 @@ Nulls give nulls unless stated. ``(?U)`` makes white space and letters Unicode-w
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -71,26 +72,41 @@ def vector_id(client: Column, group: Column, section_no: Column, section: Column
     return name, F.concat(name, F.lit("_"), F.substring(F.sha2(parts, 256), 1, 12))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 @F.pandas_udf(T.StringType())
 def _nfkd_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
 
 
-#: Endings that a split ``ti`` ligature leaves behind (fixed values).
-_ENDINGS = "tionally|tional|tions?|tively|tives?|tings?|tified|tifying|tifiable|tifications?|tities|tity"
+#: Pieces of words that a split ligature leaves standing alone, those of them that also open words, and the beginnings of endings it leaves (fixed values).
+LONE = ("ti", "ft", "tt", "ffi", "ffl", "fi", "fl")
+OPENING = ("ti", "tt", "ffi", "ffl")
+ENDINGS = ("tion", "tive", "ting", "tified", "tifying", "tifiable", "tification", "tities", "tity")
+
+
+def join_fragments(text: str) -> str:
+    """Words that a ligature split into blank-separated pieces, joined in one pass from left to right."""
+    out: list[str] = []
+    glued = False  # the piece before wants its right neighbour
+    pieces = re.split(r"(\s+)", text)
+    for i in range(0, len(pieces), 2):
+        word, gap = pieces[i], pieces[i - 1] if i else ""
+        after = pieces[i + 2] if i + 2 < len(pieces) else ""
+        left = out[-1][-1:] if out else ""
+        lone = word in LONE and gap == " " and (left.isalnum() or left == "_") and i + 2 < len(pieces) and pieces[i + 1] == " " and (after[:1].isalnum() or after[:1] == "_")
+        ending = gap == " " and word.startswith(ENDINGS) and out and len(out[-1]) > 1 and out[-1][-2:].isascii() and out[-1][-2:].isalpha()
+        out += [word] if glued or lone or ending else [gap, word]
+        glued = lone or (word in OPENING and "a" <= after[:1] <= "z")
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _unfolded(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else join_fragments(unicodedata.normalize("NFKC", t)))
 
 
 def repair_ligatures(text: Column) -> Column:
     """Compatibility forms unfolded, words joined that a ligature split: ``no ti ce``, ``Dura tion``."""
-    t = _nfkc(text)
-    t = F.regexp_replace(t, r"(?U)(\w) (ti|ft|tt|ffi|ffl|fi|fl) (\w)", "$1$2$3")
-    t = F.regexp_replace(t, r"(?U)\b(ti|tt|ffi|ffl)\s+([a-z])", "$1$2")
-    return F.regexp_replace(t, rf"([A-Za-z]{{2,}}) ({_ENDINGS})", "$1$2")
+    return _unfolded(text)
 
 
 def ascii_id(text: Column, longest: int = 100) -> Column:
@@ -180,16 +196,33 @@ def bare_marker(title: Column) -> Column:
     return F.coalesce(strip_wrappers(title).rlike(r"(?i)^(?:\d{1,3}\.?|CHAPTER\s+\d{1,3}\.?|Clause\s+\d{1,3}\.?)$"), F.lit(False))
 
 
+#: Publishers and forms whose names open the subtitle of a standard rider clause, and the words such a subtitle may contain (fixed values).
+RIDER_NAMES = ("BIMCO", "NYPE", "INTERTANKO", "BARECON", "SUPPLYTIME")
+RIDER_PHRASES = ("clause for charter", "clause for time charter")
+#: Least characters of a subtitle, and how far into the line a name counts.
+SUBTITLE, NAMED_WITHIN = 12, 120
+
+
+def names_rider(line: Column) -> Column:
+    """Whether a line names a standard rider clause and is no item of a list."""
+    head = F.substring(F.trim(line), 1, NAMED_WITHIN)
+    words = F.split(F.upper(head), "[^A-Z]+")
+    named = F.arrays_overlap(words, F.array(*[F.lit(x) for x in RIDER_NAMES]))
+    flat = F.regexp_replace(F.lower(head), r"\s+", " ")
+    for p in RIDER_PHRASES:
+        named = named | F.contains(flat, F.lit(p))
+    marker = F.regexp_replace(F.substring(head, 1, 12), " ", "")
+    item = F.startswith(marker, F.lit("(")) | marker.rlike(r"^[A-Za-z]\)") | F.substring_index(head, " ", 1).rlike(r"^\d+\.\d+$")
+    return (F.char_length(F.trim(line)) >= SUBTITLE) & named & ~item
+
+
 def promote_subtitle(title: Column, body: Column) -> tuple[Column, Column]:
     """Moves a first body line that names a standard rider clause into a bare title."""
-    first = F.trim(F.substring_index(F.trim(body), "\n", 1))
-    rest = F.trim(F.regexp_replace(F.trim(body), r"^[^\n]*\n?", ""))
-    listed = first.rlike(r"(?i)^(?:\(\s*(?:[a-z]|\d+)\s*\)\s|[a-z]\)\s|\d+\.\d+\s)")
-    named = F.substring(first, 1, 120).rlike(r"(?i)\b(?:BIMCO|NYPE|INTERTANKO|BARECON|SUPPLYTIME)\b|Clause\s+for\s+(?:Time\s+)?Charter")
-    go = bare_marker(title) & (F.char_length(first) >= 12) & ~listed & named
-    t = F.trim(title)
-    joiner = F.when(t.rlike(r"[.:]$"), F.lit(" ")).otherwise(F.lit(" - "))
-    return F.when(go, F.concat(t, joiner, first)).otherwise(title), F.when(go, rest).otherwise(body)
+    lines = F.split(F.trim(body), "\n", 2)
+    first, rest = F.trim(lines[0]), F.trim(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")))
+    go = F.coalesce(bare_marker(title) & names_rider(first), F.lit(False))
+    joint = F.when(F.substring(F.trim(title), -1, 1).isin(".", ":"), F.lit(" ")).otherwise(F.lit(" - "))
+    return F.when(go, F.concat(F.trim(title), joint, first)).otherwise(title), F.when(go, rest).otherwise(body)
 
 
 def strike_marks(text: Column) -> Column:

@@ -120,8 +120,8 @@ def section_progress(sections: DataFrame, files: DataFrame, defaults: dict[str,
 
 
 def category_totals(df: DataFrame, category: str, amount: str) -> DataFrame:
-    """(category, total) and a last row ``TOTAL``; amounts that are no numbers are skipped, blank categories read ``-``."""
-    name = F.coalesce(F.nullif(F.trim(F.col(category)), F.lit("")), F.lit("-"))
+    """(category, total) and a last row ``TOTAL``; amounts that are no numbers are skipped, blank categories read ``—``."""
+    name = F.coalesce(F.nullif(F.trim(F.col(category)), F.lit("")), F.lit("—"))
     value = F.col(amount).cast("string").try_cast("double")
     rows = df.select(name.alias("category"), value.alias("v")).where("v is not null")
     return rows.rollup("category").agg(zero_sum("v").alias("total")).withColumn("category", F.coalesce("category", F.lit("TOTAL")))

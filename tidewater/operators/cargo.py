@@ -85,12 +85,14 @@ def weight_targets(bins: DataFrame, totals: DataFrame, group: str, hold: str = "
 def balance_scores(targets: DataFrame, actuals: DataFrame, group: str, hold: str = "hold_id") -> DataFrame:
     """(group, balance): 100 where every hold has its target, down by the mean deviation over the largest target, 0 at least.
 
-    Holds with weight but no target play no part; a group without targets has no row.
+    Holds with weight but no target play no part; a group with weights but without targets has 100.
     """
     j = targets.join(actuals, [group, hold], "left")
     g = j.groupBy(group).agg(F.avg(F.abs(zero("weight_kg") - F.col("target_kg"))).alias("_dev"), F.max("target_kg").alias("_max"))
     top = F.when(F.col("_max") == 0, F.lit(1.0)).otherwise(F.col("_max"))
-    return g.select(group, F.greatest(F.lit(0.0), F.bround(100.0 * (1.0 - F.col("_dev") / top), 2)).alias("balance"))
+    scored = g.select(group, F.greatest(F.lit(0.0), F.bround(100.0 * (1.0 - F.col("_dev") / top), 2)).alias("balance"))
+    every = targets.select(group).union(actuals.select(group)).distinct()
+    return every.join(scored, group, "left").select(group, F.coalesce("balance", F.lit(100.0)).alias("balance"))
 
 
 def fill_rates(placed: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,10 +132,15 @@ def check_placements(moves: DataFrame, holds: DataFrame, others: DataFrame, grou
     ``moves``: id, group keys, hold_id, level, x, y, z, rotation_deg, raw l, w, h
     and can_rotate. Rules in order: rotation, measures, hold, level, bounds in
     each direction, overlap with other boxes of the same hold and level (the
-    box's own old place apart).
+    box's own old place apart). Holds are matched on their id and on those group
+    keys that ``holds`` carries, so equal ids of two vessels stay apart.
     """
     l, w, h = rotated(zero("m.l"), zero("m.w"), zero("m.h"), F.col("m.rotation_deg"))
-    j = moves.alias("m").join(holds.alias("h"), (F.col("m.hold_id") == F.col("h.id")) & F.lit(True), "left")
+    same = F.col("m.hold_id") == F.col("h.id")
+    for k in group:
+        if k in holds.columns and k not in ("hold_id", "level"):
+            same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}"))
+    j = moves.alias("m").join(holds.alias("h"), same, "left")
     top = level_height(F.col("m.level"), F.col("h.has_tween"), zero("h.lower_height"), zero("h.upper_height"), zero("h.height"))
     d = j.select("m.id", *[F.col(f"m.{g}").alias(g) for g in group], "m.x", "m.y", "m.z", l.alias("l"), w.alias("w"), h.alias("h"), F.pmod(F.coalesce("m.rotation_deg", F.lit(0)), F.lit(360)).alias("_r"), F.coalesce("m.can_rotate", F.lit(True)).alias("_can"), zero("h.length").alias("_L"), zero("h.breadth").alias("_B"), top.alias("_H"))
     reason = (

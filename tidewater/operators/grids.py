@@ -12,31 +12,47 @@ from pyspark.sql.window import Window as W
 
 from tidewater.operators import cargo as cg
 
-#: Fields of a packing list and the header forms that name them, in order of precedence (fixed values).
-HEADERS: list[tuple[str, str]] = [
-    ("item_id", r"\bpl\s*n[°o]?\b|\bnr\.?\s*plist\b|\bpacking\s*list\s*(no|number|id)\b|\bpl\s*id\b|\bitem\s*(id|no|number|code)\b|\bpart\s*(no|number)\b|\bposition\s*(no|number)\b|\bcase\s*(no|number)\b"),
-    ("description", r"\bdescription\b|\bdescriz|\bcommodity\b|\bgoods\b|\bcomm\b"),
-    ("packing_type", r"\b(packing|package|pkg)\s*type\b|\btype\s*of\s*pack"),
-    ("length_m", r"\blength\b|\blunghezza\b|^l$|^l\s*[\[(]mm?[\])]\s*$|\bdim\w*\s*[\[(]?mm?[\])]?\s*l\b"),
-    ("width_m", r"\bwidth\b|\blarghezza\b|^w$|^w\s*[\[(]mm?[\])]\s*$|\bdim\w*\s*[\[(]?mm?[\])]?\s*w\b"),
-    ("height_m", r"\bheight\b|\baltezza\b|^h$|^h\s*[\[(]mm?[\])]\s*$|\bdim\w*\s*[\[(]?mm?[\])]?\s*h\b"),
-    ("volume_m3", r"\bvolume\b|\bcbm\b|\bm\s*3\b"),
-    ("net_weight_kg", r"\bnet\s*weight\b|\bn\.?\s*w\b|\bpeso\s*netto\b"),
-    ("gross_weight_kg", r"\bgross\s*weight\b|\bg\.?\s*w\b|\bpeso\s*lordo\b"),
-    ("imo_flag", r"\bimo\b|\bhazmat\b|\bimdg\b|\bdangerous\b"),
-]
+#: Fields of a packing list, in order of precedence, and the words of their headers, without punctuation (fixed values).
+HEADERS: dict[str, tuple[str, ...]] = {
+    "item_id": (
+        "pl", "pl n", "pl n°", "pl no", "pln", "plno", "nr plist", "packing list no", "packing list number", "packing list id", "pl id", "item id", "item no", "item number", "item code",
+        "part no", "part number", "position no", "position number", "case no", "case number",
+    ),
+    "description": ("description", "descriz", "descrizione", "commodity", "goods", "comm"),
+    "packing_type": ("packing type", "package type", "pkg type", "type of pack", "type of packing", "type of package"),
+    "length_m": ("length", "lunghezza"),
+    "width_m": ("width", "larghezza"),
+    "height_m": ("height", "altezza"),
+    "volume_m3": ("volume", "cbm", "m3", "m 3"),
+    "net_weight_kg": ("net weight", "n w", "nw", "peso netto"),
+    "gross_weight_kg": ("gross weight", "g w", "gw", "peso lordo"),
+    "imo_flag": ("imo", "hazmat", "imdg", "dangerous"),
+}
+#: Letters that name an axis, alone or behind ``dim...`` and a unit.
+AXES = {"length_m": "l", "width_m": "w", "height_m": "h"}
+AXIS_UNITS = ("m", "mm")
 #: Words that mark a totals row (fixed values).
 TOTALS = ("tot", "total", "totale", "totals", "totali", "subtotal", "sum")
 #: Header rows are sought among so many first rows and need at least this score.
 HEAD_ROWS, LEAST = 30, 4
 
 
+def header_words(text: Column) -> Column:
+    """A header cell as words between single blanks, in lower case; punctuation separates."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}°]+", " ")), F.lit(" "))
+
+
 def header_field(text: Column) -> Column:
-    """The field a header cell names, null if none."""
-    t = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    """The field a header cell names, null if none: the first whose words stand in it, or whose axis letter does."""
+    t = header_words(text)
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(HEADERS):
-        out = F.when(t.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, phrases in reversed(HEADERS.items()):
+        hit = F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(t, p))
+        if axis := AXES.get(name):
+            alone = [f" {axis} ", *[f" {axis} {u} " for u in AXIS_UNITS]]
+            measured = [f" {u} {axis} " for u in AXIS_UNITS]
+            hit = hit | t.isin(*alone) | (F.contains(t, F.lit(" dim")) & F.exists(F.array(*[F.lit(x) for x in (f" {axis} ", *measured)]), lambda p: F.contains(t, p)))
+        out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 

@@ -75,19 +75,20 @@ def margin_numbers(elements: DataFrame, side: str = "left") -> DataFrame:
     return best.join(stats, "doc_id", "left_semi").join(order, "doc_id", "left_semi")
 
 
-def snap_rows(elements: DataFrame, block: int = 5000) -> DataFrame:
-    """Adds ``row``: elements whose y lies within ``SNAP`` of the first of their row, per page.
+def snap_rows(elements: DataFrame) -> DataFrame:
+    """Adds ``row``: elements whose y lies within ``SNAP`` of the first of their row, per page; equal elements stay as many as they are.
 
-    The anchor is the row's start, so a fold over the page's sorted ys decides;
-    a page's elements are few, and its fold is bounded by ``block``.
+    The anchor is the row's start, so a fold over the page's sorted distinct ys
+    decides. Anchors lie more than ``SNAP`` apart, so a page has at most its
+    height over ``SNAP`` of them: they travel as one array per page, in which each
+    element looks up its row.
     """
-    pages = elements.groupBy("doc_id", "page").agg(F.slice(F.sort_array(F.collect_set("y")), 1, 1 << 30).alias("_ys"))
+    pages = elements.groupBy("doc_id", "page").agg(F.sort_array(F.collect_set("y")).alias("_ys"))
     start = F.struct(F.lit(-1e18).alias("at"), F.array().cast("array<double>").alias("rows"))
     fold = F.aggregate("_ys", start, lambda s, y: F.when(F.abs(y - s["at"]) > SNAP, F.struct(y.alias("at"), F.concat(s["rows"], F.array(y)).alias("rows"))).otherwise(s))
-    anchors = pages.select("doc_id", "page", F.posexplode(fold["rows"]).alias("row", "_y0"))
-    j = elements.join(anchors, ["doc_id", "page"]).where(F.col("y") >= F.col("_y0"))
-    keys = elements.columns
-    return j.groupBy(*keys).agg(F.max("row").alias("row"))
+    j = elements.join(pages.select("doc_id", "page", fold["rows"].alias("_rows")), ["doc_id", "page"])
+    row = F.size(F.filter("_rows", lambda a: a <= F.col("y"))) - 1
+    return j.select(*elements.columns, row.alias("row"))
 
 
 def text_lines(elements: DataFrame) -> DataFrame:

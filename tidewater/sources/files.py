@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window as W
 
 #: Extensions that have a reader.
@@ -223,36 +222,17 @@ def heading_paths(rows: DataFrame) -> DataFrame:
     return r.where("kind <> 'heading'").select("path", "position", path.alias("headings"), "text").where(F.size("headings") > 0)
 
 
-class LandedPages(DataSource):
-    """Pages of a search API landed as JSON lines ``page-000.jsonl``, ...; one partition per page, at most ``pages`` of them.
+def landed_pages(spark: SparkSession, folder: str, pages: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Pages of a search API landed as JSON lines ``page-000.jsonl``, ...: (records (page, record) of the first ``pages`` pages, pages (page, records) beyond them).
 
-    Options: ``folder``, ``pages`` (20). Rows are (page int, record string).
+    The page is the number in the file's name; blank lines are no records. Files
+    are listed and read by the engine, from any file system.
     """
+    f = spark.read.option("pathGlobFilter", "page-*.jsonl").text(folder).select(F.col("value").alias("record"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.jsonl$", 1).try_cast("int").alias("page"))
+    rows = f.where("trim(record) <> ''").select("page", "record")
+    return rows.where(F.col("page") < pages), rows.where(F.col("page") >= pages).groupBy("page").agg(F.count("*").alias("records"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "landed_pages"
 
-    def schema(self) -> str:
-        return "page int, record string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Pages(self.options["folder"], int(self.options.get("pages", "20")))
-
-
-class _Pages(DataSourceReader):
-    def __init__(self, folder: str, pages: int) -> None:
-        self.folder, self.pages = folder, pages
-
-    def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        names = sorted(p.name for p in Path(self.folder).glob("page-*.jsonl"))[: self.pages]
-        return [InputPartition((i, n)) for i, n in enumerate(names)]
-
-    def read(self, partition: InputPartition):
-        i, name = partition.value
-        with open(f"{self.folder}/{name}", encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    yield (i, line.rstrip("\n"))
+def joined_details(results: DataFrame, details: DataFrame, key: str, order: str, most: int = 3) -> DataFrame:
+    """The first ``most`` search results by order, each with its details; a result without details keeps nulls."""
+    return results.orderBy(order, key).limit(most).join(details, key, "left")

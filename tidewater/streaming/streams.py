@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,25 +36,27 @@ def progress_sessions(events: DataFrame, ts: str, task: str, idle: str = "600 se
 def limit_rate(events: DataFrame, key: str, ts: str, tokens: str, per_window: int, seconds: int = 60) -> DataFrame:
     """(key, ts, tokens, wait_seconds): how long each request must wait so that no window exceeds the tokens.
 
-    The state per key is the requests still inside the window - bounded by the
-    window, since granted tokens are; a request beyond the whole limit waits for
-    an empty window.
+    The requests of a key that one trigger brings are sorted by time, then tokens,
+    before any is granted, however they arrive; across triggers the order of
+    arrival counts. The state per key is the requests still inside the window -
+    bounded by the window, since granted tokens are; a request beyond the whole
+    limit waits for an empty window.
     """
     schema = f"`{key}` string, ts timestamp, tokens long, wait_seconds double"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(zip(*state.get, strict=True)) if state.exists else []
+        live = deque(zip(*state.get, strict=True)) if state.exists else deque()
+        held = sum(m for _, m in live)
         out = []
-        for b in batches:
-            for t, n in b.sort_values("_t")[["_t", "_n"]].itertuples(index=False, name=None):
-                at = max([t, *(s for s, _ in seen[-1:])])
-                live = [(s, m) for s, m in seen if s > at - seconds]
-                while live and sum(m for _, m in live) + n > per_window:
-                    at = live[0][0] + seconds
-                    live = [(s, m) for s, m in live if s > at - seconds]
-                seen = [*live, (at, n)]
-                out.append((str(k[0]), pd.Timestamp(round(t * 1e6), unit="us"), int(n), at - t))
-        state.update(([s for s, _ in seen], [m for _, m in seen]))
+        for t, n in sorted(x for b in batches for x in b[["_t", "_n"]].itertuples(index=False, name=None)):
+            at = max(t, live[-1][0]) if live else t
+            while live and (live[0][0] <= at - seconds or held + n > per_window):
+                at = max(at, live[0][0] + seconds)
+                held -= live.popleft()[1]
+            live.append((at, n))
+            held += n
+            out.append((str(k[0]), pd.Timestamp(round(t * 1e6), unit="us"), int(n), at - t))
+        state.update(([s for s, _ in live], [m for _, m in live]))
         yield pd.DataFrame(out, columns=[key, "ts", "tokens", "wait_seconds"])
 
     e = events.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias(key), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_n"))
