@@ -66,9 +66,24 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
 
 
-@query("p6_sessions")
+@query(
+    "p6_sessions",
+    _SESSIONS_SQL
+    + """
+, c AS (SELECT session_id, count(*) AS rows, count(*) FILTER (role IN ('user', 'assistant')) AS turns FROM m GROUP BY 1)
+SELECT i.session_id, coalesce(c.rows, 0) AS rows, coalesce(c.turns, 0) AS turns, coalesce(s.whole, false) AS whole FROM i LEFT JOIN c USING (session_id) LEFT JOIN s USING (session_id)
+""",
+)
 def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.judge_sessions(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
+    """Every session with its distinct rows and turns, and whether it is whole."""
+    judged = conversations.judge_sessions(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions"))
+    return judged.select("session_id", "rows", "turns", F.col("reason").isNull().alias("whole"))
+
+
+@query("p6_threads")
+def p6_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Threads of the sessions whose positions do not give their order."""
+    return conversations.threads(table(spark, d, "chat_messages"), table(spark, d, "chat_sessions")).drop("at")
 
 
 def packed_items(spark: SparkSession, d: str) -> DataFrame:
