@@ -50,3 +50,12 @@ def test_long_texts_are_read_in_linear_time(text):
     t = time.time()
     analyse(text)
     assert time.time() - t < 20
+
+
+def test_regular_repetition_decides_without_link_patterns():
+    """Lists of links and tag clouds that keep saying the same are found by their recurrence gaps."""
+    links = "\n".join(f"http://{a}-deals.example/{b}/{i}" for i, (a, b) in enumerate([("tor", "deck-winch"), ("mir", "tug-hire"), ("tor", "tug-hire"), ("mir", "deck-winch")] * 6))
+    cloud = " ".join(f"{w} ({i * 7})" for i, w in enumerate(["deck winch", "tug hire", "ship paint", "anchor chain"] * 8))
+    for text in (links, cloud):
+        got = analyse(text)
+        assert got["lists"] > 0.9 and got["share"] > 0.9
