@@ -6,6 +6,8 @@ from tests.oracle import connect, same
 from tidewater.queries import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.sql()
+#: Queries without rows on the smallest tables: no text there has split ligatures.
+EMPTY = {"ligature_repair"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def test_equals_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    assert QUERIES[name](spark, sf).count() > 0 or name in EMPTY
 
 
 def test_flagship(spark, sf):

@@ -129,3 +129,35 @@ def test_streams(spark, sf, tmp_path):
         streams.ingest(spark, str(land), str(tmp_path / "cp"), lambda df, _: seen.extend(r.path for r in df.select("path").collect()), "txt")
     assert len(seen) == 1
     assert [streams.backoff(n) for n in (0, 3, 9)] == [1.0, 8.0, 60.0]
+
+
+def test_deletes_and_logs(spark, frame, tmp_path):
+    d = frame([(1, "a"), (2, None), (3, "b")], "k int, v string")
+    assert sorted(r.k for r in sinks.delete_where(d, "v = 'a'").collect()) == [2, 3] and sinks.cleared(d).count() == 0 and sinks.cleared(d).schema == d.schema
+    from datetime import datetime
+
+    rows = frame([(1, datetime(2024, 1, 1, 5)), (2, None)], "n int, ts timestamp_ntz")
+    for _ in range(2):
+        sinks.append_usage(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    assert sorted(r.json for r in sinks.as_json(d, "k").collect()) == ['{"k":1,"v":"a"}', '{"k":2}', '{"k":3,"v":"b"}']
+
+
+def test_waits_do_not_depend_on_arrival(spark, tmp_path):
+    """Requests of one trigger wait alike, however many batches and files bring them in whatever order."""
+    from datetime import datetime, timedelta
+
+    from tidewater.streaming import streams
+
+    t = datetime(2024, 1, 1)
+    rows = [("u", t + timedelta(seconds=s), 60) for s in (0, 1000, 2000, 9000)]
+    got = []
+    for name, order in (("one", rows), ("two", rows[::-1])):
+        at = str(tmp_path / name)
+        for i, r in enumerate(order):
+            spark.createDataFrame([r], "user string, ts timestamp_ntz, n long").write.mode("append").parquet(at)
+        s = spark.readStream.schema("user string, ts timestamp_ntz, n long").parquet(at)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1" if name == "two" else "4000")
+        got.append(sorted((r.ts, r.wait_seconds) for r in streams.drain(streams.limit_rate(s, "user", "ts", "n", 100, 3600), name).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and [w for _, w in got[0]] == [0.0, 2600.0, 5200.0, 1800.0]

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import classify as cl
+from tidewater.operators import sections as se
 from tidewater.operators import structure as so
 
 PATTERNS = [(r"^1[.)]\s*Vessel", "vessel"), (r"^2[.)]\s*Contract", "contract"), (r"^3[.)]\s*Delivery", "delivery")]
@@ -22,10 +24,38 @@ def test_flatten(spark):
     assert got == {("chapter", None): ("a | N/A\nb | c", 2), ("clause", "1"): ("x\ny", 2), ("rider", "1"): ("z", 1), ("text", None): ("free", 1)}
 
 
-def test_inline_headers():
-    assert so.split_inline_headers("11. Hire\npaid monthly. 12. Off Hire\nnone") == "11. Hire\npaid monthly.\n12. Off Hire\nnone"
-    assert so.split_inline_headers("12. Hire\npaid. 12. Off Hire") == "12. Hire\npaid. 12. Off Hire"
-    assert so.split_inline_headers("") == ""
+def test_misplaced_headers():
+    one = {1: ("1. Hire", ["paid", "7) Speed and Consumption", "fast", "9. Dangerous Goods", "none", "9) BIMCO Ice Clause", "x"]), 3: ("3. Off", ["y", "1) Notices", "z"]), 4: ("4. Empty", [])}
+    got = se.split_misplaced(one)
+    assert got == {1: ("1. Hire", ["paid"]), 7: ("7) Speed and Consumption", ["fast"]), 9: ("9) Dangerous Goods", ["none", "9) BIMCO Ice Clause", "x"]), 3: ("3. Off", ["y", "1) Notices", "z"]), 4: ("4. Empty", [])}
+    assert se.split_misplaced({2: ("2. A", ["4) Notices", "b"]), 4: ("4. Empty", [])})[4] == ("4) Notices", ["b"])
+    assert se.header_inside("10. Rate of Hire; all. in") is None and se.header_inside("5. x (including y) z") and se.header_inside("5. x. War Clause") == (5, "x. War Clause") and se.split_misplaced({}) == {}
+
+
+def test_routes():
+    text = "first page words here\f \fthird page"
+    assert se.page_batches(["a b c", "d e", "f g h i j k"], 5) == [("Pages 1-2", "a b c\n\nd e"), ("Page 3", "f g h i j"), ("Page 3", "k")]
+    assert se.route_text(text, "raw") == [(None, "first page words here\n\nthird page")] and se.route_text(text, "font") == [("Section 1", "first page words here third page")]
+    assert [t for t, _ in se.route_text("1. Hire\npaid\f2. Off\nnot", "presplit")] == ["1. Hire", "2. Off"] and se.route_text(" \f ", "raw") == [] == se.route_text("", "font")
+    assert se.fixed_chunks("a b c", 2) == [("Section 1", "a b"), ("Section 2", "c")]
+
+
+def test_marked_pages(spark):
+    df = spark.createDataFrame([("a\f \fb",), (None,), ("",)], "t string")
+    assert [r.m for r in df.select(se.marked_pages(F.col("t")).alias("m")).collect()] == ["--- PAGE 1 ---\na\n\n--- PAGE 3 ---\nb", None, ""]
+
+
+def test_far_tables_need_words(frame):
+    s = frame([("d", 1, "Lifting\nx", 0, 2), ("d", 2, "zzz", 500, 502), (None, 3, "Lifting", 0, 1)], "doc string, section_id int, text string, start int, end int")
+    t = frame([("d", 1, "capacity 5", 5, 6), ("d", 2, "capacity 6", 5, 6), ("d", 3, " ", 2, 3), ("d", 4, None, 2, 3), ("e", 5, "lifting", 0, 1)], "doc string, table_id int, text string, start int, end int")
+    assert [(r.section_id, r.table_id) for r in se.attach_tables(s, t, "doc").collect()] == [(1, 1)]
+    assert se.attach_tables(s.where("false"), t, "doc").count() == 0
+
+
+def test_names():
+    assert cl.name_of_document(None, None) == "" and cl.name_of_document("Ship name: MV Blue", "x.pdf") == "MV BLUE"
+    assert cl.name_of_document("", "folder/MV_Grey Heron final.pdf") in ("MV_GREY HERON", "MV GREY HERON")
+    assert cl.name_of_document("nothing\nMV Amber Quern\n", "x.pdf") == "MV AMBER QUERN" and cl.name_of_document("x", "Doc 7.pdf") == "DOC 7"
 
 
 def test_enriched(spark):
@@ -81,3 +111,10 @@ def test_best_sections_asks_for_every_item(spark, sf):
                 want[suite, i] = (-max(scored)[1], round(max(scored)[0], 6))
     got = {(r.suite, r.section_id): (r.table_id, round(r.score, 6)) for r in catalogue.queries()["best_sections"](spark, sf).collect()}
     assert got == want and len(got) == 237
+
+
+def test_patch_and_pages(frame):
+    items = frame([(1, 1.0, 2.0, 3.0, 9.0), (2, None, 2.0, 3.0, 9.0)], "id long, l double, w double, h double, volume_m3 double")
+    p = frame([(1, 5.0, 7.0), (2, None, 7.0), (9, 1.0, 1.0)], "id long, l double, w double")
+    assert {r.id: (r.l, r.w, r.volume_m3) for r in so.patch_items(items, p, "id", ["l"]).collect()} == {1: (5.0, 2.0, 30.0), 2: (None, 2.0, 9.0)}
+    assert so.page_count(items.where("false"), 20).first() == (0, 1) and so.page_count(items, 1).first() == (2, 2)

@@ -199,9 +199,19 @@ def flagged(text: Column) -> Column:
     return F.coalesce(F.upper(F.trim(text)).isin(*DANGEROUS), F.lit(False))
 
 
-def unpack(packed: DataFrame, positions: DataFrame) -> DataFrame:
-    """A joint layout back to the manifests its items came from, by global position."""
-    return positions.join(packed, "position", "left")
+def unpack(packed: DataFrame, positions: DataFrame, on: tuple[str, ...] = ("position",)) -> DataFrame:
+    """A joint layout back to the manifests its items came from, by position (in the vessel, where ``on`` names it); items that the layout lacks stay, with nulls."""
+    return positions.join(packed, list(on), "left")
+
+
+def footprint_overlap(a: str, b: str) -> Column:
+    """Area that the footprints (x, z, l, w) of two boxes share, by the prefixes of their columns."""
+    def common(at: str, span: str) -> Column:
+        low = F.greatest(F.col(f"{a}{at}"), F.col(f"{b}{at}"))
+        high = F.least(F.col(f"{a}{at}") + zero(f"{a}{span}"), F.col(f"{b}{at}") + zero(f"{b}{span}"))
+        return F.greatest(F.lit(0.0), high - low)
+
+    return common("x", "l") * common("z", "w")
 
 
 def global_positions(items: DataFrame, order: list[str]) -> DataFrame:

@@ -167,6 +167,15 @@ def last_turns(messages: DataFrame, turns: int) -> DataFrame:
     return od.top_rows(messages, ["session_id"], [F.col("position").desc(), F.col("id").desc()], 2 * turns, F.col("id"))
 
 
+def message_window(messages: DataFrame, system: str, turns: int) -> DataFrame:
+    """(session_id, seq, role, content): the system line first, then each session's last turns in order."""
+    last = last_turns(messages, turns)
+    rank = F.row_number().over(W.partitionBy("session_id").orderBy("position", "id"))
+    rows = last.select("session_id", rank.alias("seq"), "role", "content")
+    head = last.select("session_id").distinct().select("session_id", F.lit(0).alias("seq"), F.lit("system").alias("role"), F.lit(system).alias("content"))
+    return head.unionByName(rows)
+
+
 def append_messages(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New messages (session_id, seq, role, content) with positions that go on from the session's last."""
     last = existing.groupBy("session_id").agg(F.max("position").alias("_last"))

@@ -76,31 +76,6 @@ def flatten_tree(df: DataFrame, key: str, tree: str) -> DataFrame:
     return out.where("trim(body) <> ''").withColumn("line_count", tx.line_count(F.col("body")))
 
 
-_INLINE = re.compile(r"(?<=[.;:!?])[ \t]+(?=(\d{1,3})\.[ \t]+[A-Z][A-Za-z/& -]{2,60}(?:\n|$))")
-
-
-def split_inline_headers(text: str) -> str:
-    """Puts clause headings that stand at the end of another clause's line on lines of their own, if their number has no line yet; repeated until nothing changes."""
-    while True:
-        own = {int(m) for m in re.findall(r"(?m)^\s*(\d{1,3})\.\s", text)}
-        m = next((m for m in _INLINE.finditer(text) if int(m.group(1)) not in own), None)
-        if m is None:
-            return text
-        text = f"{text[: m.start()]}\n{text[m.end() :]}"
-
-
-def inline_headers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) of the texts that the split changes."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, s) for k, t in b.itertuples(index=False, name=None) if (s := split_inline_headers(t)) != t]
-            yield pd.DataFrame(rows, columns=[key, "text"])
-
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, text string")
-
-
 def parse_enriched(answer: Column) -> Column:
     """array<struct<title, body>> of a model's answer: fenced or bare, an array or an object with ``chunks``; null if it is none."""
     body = F.trim(F.coalesce(F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), answer))
@@ -293,3 +268,61 @@ def log_events(kind: str, fields: dict[str, object]) -> str:
 def palette(position: Column, colours: list[str]) -> Column:
     """A colour by rank, going round."""
     return F.element_at(F.array(*[F.lit(c) for c in colours]), (F.pmod(position, F.lit(len(colours))) + 1).cast("int"))
+
+
+def hold_defaults(vessels: DataFrame, holds: DataFrame, key: str) -> DataFrame:
+    """(key, loa, breadth, depth, holds_count, has_tween): missing or zero dimensions from the greatest hold, 1.6 times its length, 1.05 its breadth, 1.1 its height."""
+    g = holds.groupBy(key).agg(F.max("length").alias("_l"), F.max("breadth").alias("_b"), F.max("height").alias("_h"), F.count("*").cast("int").alias("holds_count"), F.max("has_tween").alias("has_tween"))
+    j = vessels.join(g, key)
+    own = lambda c, most, times: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.round(F.col(most) * times, 1)).alias(c)
+    return j.select(key, own("loa", "_l", 1.6), own("breadth", "_b", 1.05), own("depth", "_h", 1.1), "holds_count", "has_tween")
+
+
+def patch_items(items: DataFrame, patches: DataFrame, key: str, allowed: list[str]) -> DataFrame:
+    """Items with patched fields laid over, of ``allowed`` ones only; where a measure changed, ``volume_m3`` is their product again."""
+    fields = [c for c in patches.columns if c in allowed]
+    out = overlay(items, patches.select(key, *fields), key, fields)[0]
+    sizes = [c for c in ("l", "w", "h") if c in fields]
+    if not sizes:
+        return out
+    touched = patches.select(key, F.coalesce(*[F.col(c).isNotNull() for c in sizes[:1]]).alias("_t") if len(sizes) == 1 else F.greatest(*[F.col(c).isNotNull() for c in sizes]).alias("_t"))
+    j = out.join(touched, key, "left")
+    product = F.col("l") * F.col("w") * F.col("h")
+    return j.withColumn("volume_m3", F.when(F.coalesce("_t", F.lit(False)), product).otherwise(F.col("volume_m3"))).select(*items.columns)
+
+
+def unknown_keys(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that are found but not known; nulls are none."""
+    return found.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
+
+
+def page_rows(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """The rows of one page, from 1, in an order that must be total."""
+    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
+def page_count(df: DataFrame, size: int) -> DataFrame:
+    """(rows, pages): how many pages there are, one at least."""
+    n = F.count("*")
+    return df.agg(n.alias("rows"), F.greatest(F.lit(1), F.ceil(n / size)).cast("int").alias("pages"))
+
+
+#: Activities of a call, the most telling first (fixed values).
+ACTIVITIES = ("Loading", "Discharging")
+
+
+def main_activity(activities: Column) -> Column:
+    """The first listed activity that an array holds, else its first one; null if it is empty."""
+    out = F.try_element_at(F.array_compact(activities), F.lit(1))
+    for a in reversed(ACTIVITIES):
+        out = F.when(F.array_contains(activities, a), F.lit(a)).otherwise(out)
+    return out
+
+
+def chapter_counts(df: DataFrame, key: str, tree: str) -> DataFrame:
+    """(key, counts map<chapter/sub-chapter, clauses>): how many clauses each sub-chapter of a tree holds, rider clauses too."""
+    ch = df.select(key, F.explode(tree).alias("_n", "_c"))
+    e = ch.select(key, "_n", F.explode("_c.sub_chapters").alias("_s", "_v"))
+    size = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))
+    g = e.select(key, F.concat_ws("/", "_n", "_s").alias("_k"), (size("_v.clauses") + size("_v.rider_clauses")).alias("_n2"))
+    return g.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_n2")))).alias("counts"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.queries import cargo, chunksets, documents, quality, structure, texts, usage
+from tidewater.queries import cargo, cases, chunksets, documents, quality, structure, texts, usage
 from tidewater.queries.registry import Query
 
-MODULES = [usage, cargo, texts, chunksets, documents, structure, quality]
+MODULES = [usage, cargo, texts, chunksets, documents, structure, quality, cases]
 
 
 def queries() -> dict[str, Query]:

@@ -238,10 +238,12 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
     return cs.last_turns(m, 2).select("id", "session_id")
 
 
-@query("appended_messages", "SELECT session_id, 'user' AS role, 'next' AS content, CAST(max(position) + 1 AS INT) AS position FROM chat_messages WHERE session_id IS NOT NULL GROUP BY 1")
+@query("appended_messages", "SELECT session_id, role, content, CAST(p + k AS INT) AS position FROM (SELECT session_id, max(position) AS p FROM chat_messages WHERE session_id IS NOT NULL GROUP BY 1) CROSS JOIN (VALUES (1, 'user', 'next'), (2, 'assistant', 'reply')) v(k, role, content) WHERE k = 1 OR session_id % 2 = 0 UNION ALL SELECT -1, 'user', 'first', 0")
 def appended_messages(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "chat_messages").where("session_id is not null")
-    new = m.select("session_id").distinct().select("session_id", F.lit(0).alias("seq"), F.lit("user").alias("role"), F.lit("next").alias("content"))
+    ids = m.select("session_id").distinct()
+    turn = lambda df, seq, role, text: df.select("session_id", F.lit(seq).alias("seq"), F.lit(role).alias("role"), F.lit(text).alias("content"))
+    new = turn(ids, 3, "user", "next").unionByName(turn(ids.where("session_id % 2 = 0"), 7, "assistant", "reply")).unionByName(turn(spark.range(1).select(F.lit(-1).cast("long").alias("session_id")), 0, "user", "first"))
     return cs.append_messages(m, new)
 
 

@@ -78,21 +78,23 @@ def exact_or_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Every manifest as a packing list: a title row, a header row, its items and a totals row."""
+    """Every manifest as a packing list: one to three title rows, a header row, its items, a blank row, one without sizes, and a totals row."""
     it = first_rows(table(spark, d, "placed_items"), "id", ["manifest_id", "item_position", "item_id", "l", "w", "h", "weight_kg"]).drop("first_loaded")
     heads = ["PL N°", "Length (mm)", "Width (mm)", "Height (mm)", "Gross weight"]
     arr = lambda *v: F.array(*[F.lit(x) if isinstance(x, str) else x for x in v])
     mm = lambda c: F.round(F.col(c) * 1000, 0).cast("long").cast("string")
-    rows = it.select("manifest_id", (F.col("item_position") + 2).alias("r"), F.array(F.coalesce("item_id", F.lit("")), mm("l"), mm("w"), mm("h"), F.col("weight_kg").cast("string")).alias("v"))
+    rows = it.select("manifest_id", (F.col("item_position") + 4).alias("r"), F.array(F.coalesce("item_id", F.lit("")), mm("l"), mm("w"), mm("h"), F.col("weight_kg").cast("string")).alias("v"))
     m = it.select("manifest_id").distinct()
-    top = m.select("manifest_id", F.lit(0).alias("r"), arr("Packing list", "", "", "", "").alias("v"))
-    head = m.select("manifest_id", F.lit(1).alias("r"), arr(*heads).alias("v"))
+    top = m.select("manifest_id", F.explode(F.sequence(F.lit(0), (F.col("manifest_id") % 3).cast("int"))).alias("r"), arr("Shipper", "", "", "", "").alias("v"))
+    head = m.select("manifest_id", (F.col("manifest_id") % 3 + 1).cast("int").alias("r"), F.when(F.col("manifest_id") % 2 == 0, arr(*heads)).otherwise(arr(*heads[:3], "Remarks", "x")).alias("v"))
+    blank = m.select("manifest_id", F.lit(900_000).alias("r"), arr("", " ", "", "", "").alias("v"))
+    flat = m.where("manifest_id % 4 = 0").select("manifest_id", F.lit(900_001).alias("r"), arr("A-1", "0", "0", "", "5").alias("v"))
     foot = m.select("manifest_id", F.lit(1_000_000).alias("r"), arr("TOTAL", "", "", "", "1").alias("v"))
-    e = rows.unionByName(top).unionByName(head).unionByName(foot)
+    e = rows.unionByName(top).unionByName(head).unionByName(blank).unionByName(flat).unionByName(foot)
     return e.select(F.col("manifest_id").cast("string").alias("sheet_id"), "r", F.posexplode("v").alias("c", "value"))
 
 
-@query("grid_headers", "SELECT CAST(manifest_id AS VARCHAR) AS sheet_id, 1 AS header_row, 9 AS score FROM placed_items GROUP BY 1")
+@query("grid_headers", "SELECT CAST(manifest_id AS VARCHAR) AS sheet_id, CAST(manifest_id % 3 + 1 AS INT) AS header_row, CASE WHEN manifest_id % 2 = 0 THEN 9 ELSE 6 END AS score FROM placed_items WHERE manifest_id IS NOT NULL GROUP BY manifest_id")
 def grid_headers(spark: SparkSession, d: str) -> DataFrame:
     return gr.find_headers(manifest_cells(spark, d)).select("sheet_id", "header_row", "score")
 
@@ -105,7 +107,11 @@ def grid_items(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "grid_skips",
     """
-SELECT CAST(manifest_id AS VARCHAR) AS sheet_id, 'totals' AS skipped, count(DISTINCT manifest_id) AS n FROM placed_items GROUP BY manifest_id
+WITH i AS (SELECT id, arg_min(manifest_id, loaded_at) AS manifest_id, arg_min(l, loaded_at) AS l, arg_min(w, loaded_at) AS w, arg_min(h, loaded_at) AS h FROM (SELECT id, manifest_id, coalesce(l, -1) AS l, coalesce(w, -1) AS w, coalesce(h, -1) AS h, loaded_at FROM placed_items) GROUP BY id),
+m AS (SELECT DISTINCT manifest_id FROM i WHERE manifest_id IS NOT NULL)
+SELECT CAST(manifest_id AS VARCHAR) AS sheet_id, skipped, count(*) AS n FROM (
+  SELECT manifest_id, 'totals' AS skipped FROM m UNION ALL SELECT manifest_id, 'blank' FROM m UNION ALL SELECT manifest_id, 'no dimensions' FROM m WHERE manifest_id % 4 = 0
+  UNION ALL SELECT manifest_id, 'no dimensions' FROM i WHERE manifest_id IS NOT NULL AND l <= 0 AND w <= 0 AND (h <= 0 OR manifest_id % 2 = 1)) GROUP BY 1, 2
 """,
 )
 def grid_skips(spark: SparkSession, d: str) -> DataFrame:
@@ -127,11 +133,14 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "body_sizes",
     f"""
-SELECT document_id AS doc_id, 8.0::DOUBLE AS body_size FROM {_CHUNKS} WHERE document_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (position % 20 = 0) >= 0 AND count(*) >= count(*) FILTER (position % 20 <> 0)
+WITH s AS (SELECT document_id AS doc_id, round((8 + length(coalesce(title, '')) % 5 * 0.3) * 2) / 2 AS s, count(*) AS n FROM {_CHUNKS} WHERE document_id IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, CAST(s AS DOUBLE) AS body_size FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) = 1
 """,
 )
 def body_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return la.body_size(elements(spark, d))
+    """The commonest size of elements whose size depends on their text."""
+    c = chunks(spark, d, "document_id", "title").where("document_id is not null")
+    return la.body_size(c.select(F.col("document_id").alias("doc_id"), (8 + F.char_length(F.coalesce("title", F.lit(""))) % 5 * 0.3).alias("size")))
 
 
 @query("column_splits")
@@ -156,7 +165,13 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return la.text_lines(elements(spark, d))
 
 
-@query("markdown_documents")
+@query(
+    "markdown_documents",
+    f"""
+SELECT document_id, CAST((k - 1) // 1000 AS INT) AS block, string_agg('## ' || coalesce(title, 'Untitled') || chr(10) || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY id) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM {_CHUNKS} WHERE document_id IS NOT NULL) GROUP BY 1, 2
+""",
+)
 def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown(chunks(spark, d, "document_id", "title", "body").where("document_id is not null"), "document_id", "id")
 
@@ -169,14 +184,15 @@ def usage_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", F.round("total", 4).alias("total"))
 
 
-@query("stream_usage")
+@query("stream_usage", query.sql["usage_windows"])
 def stream_usage(spark: SparkSession, d: str) -> DataFrame:
     """The same windows from a stream of the table's file, drained."""
     e = streams.table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.drain(streams.usage_windows(e, "ts", "event_type", "value"), "stream_usage", "complete")
+    w = streams.drain(streams.usage_windows(e, "ts", "event_type", "value"), "stream_usage", "complete")
+    return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", F.round("total", 4).alias("total"))
 
 
-@query("stream_quota")
+@query("stream_quota", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, count(*) >= 3 AS exhausted FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     e = streams.table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.drain(streams.daily_quota(e, "ts", "user_id", 3), "stream_quota", "complete")
@@ -189,10 +205,17 @@ def stream_waits(spark: SparkSession, d: str) -> DataFrame:
     return streams.drain(streams.limit_rate(e, "user_id", "ts", "tokens", 150, 3600), "stream_waits")
 
 
-@query("task_sessions")
+@query(
+    "task_sessions",
+    """
+WITH g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 600 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE ts IS NOT NULL))
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 600 SECOND AS end, count(*) AS events, bool_or(event_type = 'done') AS done FROM g GROUP BY user_id, s
+""",
+)
 def task_sessions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.progress_sessions(e, "ts", "user_id")
+    s = streams.progress_sessions(e, "ts", "user_id")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events", "done")
 
 
 @query("chunk_embeddings")

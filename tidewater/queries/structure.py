@@ -51,11 +51,6 @@ def part_bodies(spark: SparkSession, d: str) -> DataFrame:
     return so.part_bodies(so.assign_parts(lines, "doc_id", PARTS), "doc_id")
 
 
-@query("inline_headers")
-def inline_headers(spark: SparkSession, d: str) -> DataFrame:
-    return so.inline_headers(table(spark, d, "documents"), "doc_id", "text")
-
-
 @query(
     "backfilled_files",
     f"""
@@ -99,10 +94,17 @@ def vessel_holds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "vessel_bins",
-    f"SELECT vessel_id, id AS hold_id, CAST(id AS VARCHAR) AS bin_id, length * breadth * height AS volume_m3, length * breadth * height * 700.0 AS max_weight_kg FROM ({_HOLDS}) WHERE length > 0 AND breadth > 0 AND height > 0",
+    f"""
+WITH h AS (SELECT *, length * breadth * height AS v FROM ({_HOLDS}) WHERE length > 0 AND breadth > 0 AND height > 0),
+w AS (SELECT id AS vessel_id, CASE WHEN t < 100000 THEN t * 1000 ELSE t END AS kg FROM (SELECT id, TRY_CAST(nullif(regexp_extract(replace(lower(dwat), ',', ''), '([0-9.]+)', 1), '') AS DOUBLE) AS t FROM {_VESSELS}))
+SELECT vessel_id, id AS hold_id, CAST(id AS VARCHAR) AS bin_id, v AS volume_m3, round(CASE WHEN kg > 0 THEN kg * 0.95 * v / sum(v) OVER (PARTITION BY vessel_id) ELSE v * 700.0 END, 4) AS max_weight_kg FROM h LEFT JOIN w USING (vessel_id)
+""",
 )
 def vessel_bins(spark: SparkSession, d: str) -> DataFrame:
-    return cg.hold_bins(holds(spark, d)).select("vessel_id", "hold_id", "bin_id", "volume_m3", "max_weight_kg")
+    """Bins of every vessel's holds; its deadweight, where it is known, is their ceiling."""
+    w = vessels(spark, d, "dwat").select(F.col("id").alias("vessel_id"), cg.parse_deadweight_kg(F.col("dwat")).alias("kg"))
+    b = cg.hold_bins(holds(spark, d).join(w, "vessel_id", "left"), "kg")
+    return b.select("vessel_id", "hold_id", "bin_id", "volume_m3", F.round("max_weight_kg", 4).alias("max_weight_kg"))
 
 
 @query(
@@ -178,10 +180,17 @@ def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", meta.alias("metadata"), so.enriched_text({"Vessel": F.col("group_name"), "Section": F.col("title")}, F.col("body"), words).alias("text"))
 
 
-@query("document_particulars")
+@query(
+    "document_particulars",
+    "SELECT o_custkey, field, arg_min(value, o_orderkey) AS value FROM (SELECT o_custkey, o_orderkey, unnest(['gross_tonnage', 'imo_number', 'flag_state']) AS field, unnest([CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) END, CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 7, '9') END, o_orderstatus]) AS value FROM orders) WHERE value IS NOT NULL GROUP BY 1, 2",
+)
 def document_particulars(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d, "document_id", "title", "body").where("document_id is not null")
-    return so.particulars(c, "document_id", "id", "title", "body")
+    """Particulars in texts made from orders, the first of each customer."""
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("Flag state: "), F.col("o_orderstatus"), F.lit(" | "), F.when(k % 2 == 0, F.concat(F.lit("Gross tonnage (int.): "), k.cast("string"), F.lit("\n"))).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("IMO no. "), F.lpad(k.cast("string"), 7, "9"))).otherwise("")
+    )
+    return so.particulars(table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit("Tonnage").alias("t"), text.alias("b")), "o_custkey", "o_orderkey", "t", "b")
 
 
 #: Phrases that make two texts more alike (fixed values).

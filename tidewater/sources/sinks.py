@@ -5,7 +5,7 @@ A rerun of any of them gives the same table: partitions are replaced, not added
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.chunksets import consolidate, upsert
@@ -38,6 +38,27 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def delete_where(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows that do not meet a condition on their metadata; rows for which it is unknown stay."""
+    c = F.expr(condition) if isinstance(condition, str) else condition
+    return df.where(~F.coalesce(c, F.lit(False)))
+
+
+def cleared(df: DataFrame) -> DataFrame:
+    """A collection of the same columns without rows."""
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
+def append_usage(rows: DataFrame, path: str) -> None:
+    """Appends usage rows to their log, one folder per day of ``ts``; rows without a time go to the null day."""
+    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """(key, json): every row as a JSON object, as an interface answers it; null fields are left out."""
+    return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))
+
+
 def write_json(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
