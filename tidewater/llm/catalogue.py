@@ -30,6 +30,19 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "document_chunks"))
 
 
+@query(
+    "p7_bodies",
+    "SELECT DISTINCT id AS chunk_id, md5(body) AS body, true AS fits FROM document_chunks WHERE length(body) > 4000",
+)
+def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies put together again from their pieces less the overlaps, and whether all pieces keep the limits."""
+    p = splitting.split_oversized(table(spark, d, "document_chunks"))
+    own = F.expr("substring(piece, overlap_chars + 1)")
+    fits = (F.char_length("piece") <= splitting.LIMIT) & (F.col("overlap_chars") <= splitting.OVERLAP)
+    g = p.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("part", own.alias("x")))).alias("v"), F.min(fits).alias("fits"))
+    return g.select("chunk_id", F.md5(F.array_join(F.transform("v", lambda e: e["x"]), "")).alias("body"), "fits")
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents"))
@@ -107,11 +120,33 @@ def p2_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed_items(spark, d)
 
 
+_PACKED_SQL = """
+WITH i AS (SELECT id, arg_min(struct_pack(m := manifest_id, b := bin_type, l := l, w := w, h := h, kg := weight_kg), loaded_at) AS r FROM placed_items GROUP BY id),
+b AS (SELECT bin_type, max(length) AS length, max(width) AS width, max(height) AS height, max(max_weight_kg) AS most FROM cargo_bins GROUP BY 1)
+"""
+
+
+@query(
+    "p2_items",
+    _PACKED_SQL + "SELECT r.m AS manifest_id, count(*) AS items, round(sum(greatest(coalesce(r.kg, 0), 0)), 3) AS weight_kg, true AS within FROM i JOIN b ON b.bin_type = r.b WHERE r.m IS NOT NULL GROUP BY 1",
+)
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    """Packed items and weight of each manifest, and whether every container keeps its weight and volume."""
+    p = packed_items(spark, d)
+    within = p.groupBy("manifest_id", "container").agg(F.max("fill").alias("fill")).groupBy("manifest_id").agg((F.max("fill") <= 1 + 1e-6).alias("within"))
+    g = p.groupBy("manifest_id").agg(F.countDistinct("item_row_id").alias("items"), F.round(F.sum("weight_kg"), 3).alias("weight_kg"))
+    return g.join(within, "manifest_id")
+
+
 @query("p2_usage")
 def p2_usage(spark: SparkSession, d: str) -> DataFrame:
-    """Containers and mean used share per manifest."""
-    boxes = packed_items(spark, d).groupBy("manifest_id", "container").agg(F.first("fill").alias("fill"), F.count("*").alias("pieces"))
-    return boxes.groupBy("manifest_id").agg(F.count("*").alias("containers"), F.round(F.avg("fill"), 6).alias("mean_fill"), F.sum("pieces").alias("pieces"))
+    """Containers and mean used share per manifest and container type, beside the least number that volume and weight allow."""
+    p = packed_items(spark, d).withColumn("bin_type", F.substring_index("container", "/", 1))
+    b = table(spark, d, "cargo_bins").groupBy("bin_type").agg((F.max("length") * F.max("width") * F.max("height")).alias("_v"), F.max("max_weight_kg").alias("_kg"))
+    boxes = p.groupBy("manifest_id", "bin_type", "container").agg(F.max("fill").alias("fill"), F.count("*").alias("pieces"), F.sum(F.col("l") * F.col("w") * F.col("h")).alias("v"), F.sum("weight_kg").alias("kg"))
+    g = boxes.groupBy("manifest_id", "bin_type").agg(F.count("*").alias("containers"), F.round(F.avg("fill"), 6).alias("mean_fill"), F.sum("pieces").alias("pieces"), F.sum("v").alias("v"), F.sum("kg").alias("kg"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("v") / F.col("_v") - 1e-9), F.ceil(F.col("kg") / F.col("_kg") - 1e-9))
+    return g.join(b, "bin_type").select("manifest_id", "bin_type", "containers", least.cast("long").alias("least"), "mean_fill", "pieces")
 
 
 @query("p5_found")
@@ -134,16 +169,31 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.measure_pages(table(spark, d, "documents"))
 
 
-@query("p9_found")
+_RUNS_SQL = """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM iw WHERE len(w) > 11)),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM dw WHERE len(w) > 11))
+"""
+
+
+@query("p9_found", _RUNS_SQL + "SELECT DISTINCT doc_id, item_id FROM ig JOIN dg USING (g)")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-@query("p9_leaks")
+@query("p9_leaks", _RUNS_SQL + "SELECT item_id, count(DISTINCT doc_id) AS documents FROM ig JOIN dg USING (g) GROUP BY 1")
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Each leaked item with the documents that hold it."""
+    """Each leaked item with the number of documents that hold it."""
+    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+@query("p9_answers")
+def p9_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item's longest run, and in how many documents its answer stands too."""
     found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"), F.count_if("answer").alias("with_answer"))
+    return found.groupBy("item_id").agg(F.max("run").alias("longest_run"), F.count_if("answer").alias("with_answer"))
 
 
 @query("p9_paraphrases")
