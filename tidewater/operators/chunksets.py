@@ -183,6 +183,10 @@ def append_messages(existing: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("session_id", "role", "content", (F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("_n") - 1).cast("int").alias("position"))
 
 
+#: Titles of a document that one array holds, about.
+TITLES = 500
+
+
 def coverage(raw: DataFrame, final: DataFrame, source: DataFrame, headings: DataFrame) -> DataFrame:
     """Audit of what extraction kept, per document.
 
@@ -190,14 +194,19 @@ def coverage(raw: DataFrame, final: DataFrame, source: DataFrame, headings: Data
     ``source``: (doc_id, words); ``headings``: (doc_id, heading) that should be
     found among the final titles. Ratios are null where their base is 0; the
     coverage is the truncated per cent of headings, else of words, 100 at most.
+    A heading listed twice counts once. Titles are met in blocks of ``TITLES``.
     """
     total = lambda df, name: df.groupBy("doc_id").agg(F.sum(tx.word_count(F.col("body"))).alias(name))
     words = F.transform(tx.significant_words(F.col("heading")), lambda w: w)
-    titles = final.where("title is not null").groupBy("doc_id").agg(F.collect_set(F.lower("title")).alias("_titles"))
-    h = headings.join(titles, "doc_id", "left").select("doc_id", words.alias("_w"), F.coalesce("_titles", F.array().cast("array<string>")).alias("_titles"))
+    distinct = final.where("title is not null").select("doc_id", F.lower("title").alias("_title")).distinct()
+    part = F.pmod(F.xxhash64("_title"), F.lit(1 << 30))
+    sized = distinct.join(distinct.groupBy("doc_id").agg(F.count("*").alias("_all")), "doc_id")
+    titles = sized.groupBy("doc_id", (part % F.ceil(F.col("_all") / TITLES)).alias("_block")).agg(F.collect_list("_title").alias("_titles"))
+    h = headings.join(titles, "doc_id", "left").select("doc_id", "heading", words.alias("_w"), F.coalesce("_titles", F.array().cast("array<string>")).alias("_titles"))
     need = F.greatest(F.lit(1), F.ceil(F.size("_w") / 2))
     covered = F.exists("_titles", lambda t: F.size(F.filter("_w", lambda w: F.contains(t, w))) >= need) | (F.size("_w") == 0)
-    hs = h.groupBy("doc_id").agg(F.count("*").alias("headings"), F.count_if(covered).alias("covered"))
+    met = h.groupBy("doc_id", "heading").agg(F.max(covered).alias("_met"), F.count("*").alias("_blocks"))
+    hs = met.groupBy("doc_id").agg(F.count("*").alias("headings"), F.count_if("_met").alias("covered"))
     j = source.join(total(raw, "raw_words"), "doc_id", "left").join(total(final, "final_words"), "doc_id", "left").join(hs, "doc_id", "left")
     j = j.select("doc_id", F.col("words").alias("source_words"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_words", "final_words", "headings", "covered")])
     enrichment = F.col("final_words") / F.nullif("raw_words", F.lit(0))

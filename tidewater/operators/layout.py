@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions import text as tx
+from tidewater.operators import ordered as od
 from tidewater.operators.segments import gap_statistics, inversions, longest_run
 
 BIN = 20.0
@@ -37,8 +38,7 @@ def heading_chunks(elements: DataFrame, y: str = "gy") -> DataFrame:
     e = elements.join(body_size(elements), "doc_id")
     s = F.trim("text")
     head = (s != "") & ((F.col("size") >= F.col("body_size") * LARGER) | (F.col("is_bold") & (F.char_length(s) < BOLD_CHARS)) | tx.is_clause_header(s))
-    w = W.partitionBy("doc_id").orderBy(y, "x", "text")
-    e = e.withColumn("_h", head).withColumn("chunk", F.sum(F.col("_h").cast("int")).over(w)).withColumn("_o", F.row_number().over(w))
+    e = od.running_sum(e.withColumn("_h", head).withColumn("_n", head.cast("int")), ["doc_id"], [y, "x", "text"], "_n", "chunk").withColumn("_o", F.struct(y, "x", "text"))
     g = e.groupBy("doc_id", "chunk").agg(F.min_by(F.when(F.col("_h"), s), "_o").alias("title"), F.count("*").alias("lines"), F.sort_array(F.collect_list(F.when(~F.col("_h") & (s != ""), F.struct("_o", s.alias("t"))))).alias("_b"))
     return g.select("doc_id", "chunk", "title", "lines", F.array_join(F.transform("_b", lambda x: x["t"]), "\n").alias("body"))
 

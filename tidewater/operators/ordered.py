@@ -20,35 +20,35 @@ WIDTH = 4096
 
 
 def _blocked(df: DataFrame, order: str, width: float) -> DataFrame:
-    return df.withColumn("_b", F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))).cast("long"))
+    return df.withColumn("_od_b", F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))).cast("long"))
 
 
 def _join(df: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
-    keys = [*group, "_b"]
-    c = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_carry")
+    keys = [*group, "_od_b"]
+    c = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_od_carry")
     cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return df.join(c, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def lagged(df: DataFrame, group: list[str], order: list[str], value: str, to: str, width: float = WIDTH) -> DataFrame:
     """Adds the value of the row before; null for a group's first row."""
-    b = _blocked(df, order[0], width).withColumn("_v", F.struct(F.col(value).alias("v")))
-    inner = F.lag("_v").over(W.partitionBy(*group, "_b").orderBy(*order))
-    ends = b.groupBy(*group, "_b").agg(F.max_by("_v", F.struct(*order)).alias("_e"))
-    carried = ends.withColumn("_carry", F.lag("_e").over(W.partitionBy(*group).orderBy("_b")))
-    out = _join(b.withColumn("_in", inner), carried, group)
-    return out.withColumn(to, F.coalesce("_in", "_carry")["v"]).drop("_b", "_v", "_in", "_carry")
+    b = _blocked(df, order[0], width).withColumn("_od_v", F.struct(F.col(value).alias("v")))
+    inner = F.lag("_od_v").over(W.partitionBy(*group, "_od_b").orderBy(*order))
+    ends = b.groupBy(*group, "_od_b").agg(F.max_by("_od_v", F.struct(*order)).alias("_od_e"))
+    carried = ends.withColumn("_od_carry", F.lag("_od_e").over(W.partitionBy(*group).orderBy("_od_b")))
+    out = _join(b.withColumn("_od_in", inner), carried, group)
+    return out.withColumn(to, F.coalesce("_od_in", "_od_carry")["v"]).drop("_od_b", "_od_v", "_od_in", "_od_carry")
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column | str, to: str, width: float = WIDTH) -> DataFrame:
     """Adds the sum of the value up to and with each row; null values count 0."""
     v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    b = _blocked(df, order[0], width).withColumn("_v", v)
-    inner = F.sum("_v").over(W.partitionBy(*group, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    totals = b.groupBy(*group, "_b").agg(F.sum("_v").alias("_t"))
-    carried = totals.withColumn("_carry", F.sum("_t").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
-    out = _join(b.withColumn("_in", inner), carried, group)
-    return out.withColumn(to, F.col("_in") + F.coalesce("_carry", F.lit(0))).drop("_b", "_v", "_in", "_carry")
+    b = _blocked(df, order[0], width).withColumn("_od_v", v)
+    inner = F.sum("_od_v").over(W.partitionBy(*group, "_od_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    totals = b.groupBy(*group, "_od_b").agg(F.sum("_od_v").alias("_od_t"))
+    carried = totals.withColumn("_od_carry", F.sum("_od_t").over(W.partitionBy(*group).orderBy("_od_b").rowsBetween(W.unboundedPreceding, -1)))
+    out = _join(b.withColumn("_od_in", inner), carried, group)
+    return out.withColumn(to, F.col("_od_in") + F.coalesce("_od_carry", F.lit(0))).drop("_od_b", "_od_v", "_od_in", "_od_carry")
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], to: str, width: float = WIDTH) -> DataFrame:
@@ -59,11 +59,11 @@ def numbered(df: DataFrame, group: list[str], order: list[str], to: str, width:
 def filled(df: DataFrame, group: list[str], order: list[str], value: str, to: str, width: float = WIDTH) -> DataFrame:
     """Adds the last non-null value up to and with each row."""
     b = _blocked(df, order[0], width)
-    inner = F.last(value, True).over(W.partitionBy(*group, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    ends = b.groupBy(*group, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_e"))
-    carried = ends.withColumn("_carry", F.last("_e", True).over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
-    out = _join(b.withColumn("_in", inner), carried, group)
-    return out.withColumn(to, F.coalesce("_in", "_carry")).drop("_b", "_in", "_carry")
+    inner = F.last(value, True).over(W.partitionBy(*group, "_od_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    ends = b.groupBy(*group, "_od_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_od_e"))
+    carried = ends.withColumn("_od_carry", F.last("_od_e", True).over(W.partitionBy(*group).orderBy("_od_b").rowsBetween(W.unboundedPreceding, -1)))
+    out = _join(b.withColumn("_od_in", inner), carried, group)
+    return out.withColumn(to, F.coalesce("_od_in", "_od_carry")).drop("_od_b", "_od_in", "_od_carry")
 
 
 def top_rows(df: DataFrame, group: list[str], order: list[Column], n: int, spread: Column, parts: int = 16) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions import text as tx
+from tidewater.operators import ordered as od
 
 
 def text_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,14 +31,18 @@ def assign_parts(lines: DataFrame, key: str, patterns: list[tuple[str, str]], ba
     part = F.lit(None).cast("string")
     for pattern, name in reversed(patterns):
         part = F.when(s.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(part)
-    w = W.partitionBy(key).orderBy("line_no")
     r = lines.withColumn("_part", part)
     if barred:
         name, phrase, n = barred
-        near = F.coalesce(F.max((F.contains(F.lower("line"), F.lit(phrase)) & (F.char_length("line") < 100)).cast("int")).over(w.rowsBetween(-n, -1)), F.lit(0))
-        r = r.withColumn("_near", near).withColumn("_part", F.when((F.col("_part") == name) & (F.col("_near") == 1), F.lit(None)).otherwise(F.col("_part"))).drop("_near")
-    last = F.last(F.when(F.col("_part").isNotNull(), F.struct(F.col("_part").alias("part"), F.col("line_no").alias("start"))), True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("_at", last).select(*lines.columns, F.col("_at.part").alias("part"), F.col("_at.start").alias("start"))
+        block = F.floor(F.col("line_no") / od.WIDTH)
+        edge = F.pmod(F.col("line_no"), F.lit(od.WIDTH)) >= od.WIDTH - n  # the next block's first lines look back at these
+        r = r.withColumn("_blk", F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block))))
+        w = W.partitionBy(key, "_blk").orderBy("line_no").rowsBetween(-n, -1)
+        near = F.coalesce(F.max((F.contains(F.lower("line"), F.lit(phrase)) & (F.char_length("line") < 100)).cast("int")).over(w), F.lit(0))
+        r = r.withColumn("_near", near).where(F.col("_blk") == block)
+        r = r.withColumn("_part", F.when((F.col("_part") == name) & (F.col("_near") == 1), F.lit(None)).otherwise(F.col("_part"))).drop("_near", "_blk")
+    r = od.filled(r.withColumn("_here", F.when(F.col("_part").isNotNull(), F.struct(F.col("_part").alias("part"), F.col("line_no").alias("start")))), [key], ["line_no"], "_here", "_at")
+    return r.select(*lines.columns, F.col("_at.part").alias("part"), F.col("_at.start").alias("start"))
 
 
 def part_bodies(parts: DataFrame, key: str, again: str = "replace") -> DataFrame:
