@@ -75,6 +75,8 @@ _BLANKS = re.compile(r"(\s)\s{3,}")
 _FIGURE = re.compile(r"\d[\d.,:/]*(\s?(?:mm|cm|m|km|kg|t|mt|kw|cbm|knots|m[²³23]|t/m2|%)\b)?", re.I)
 _CLOUD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+[ -]){1,3}[^\W\d_]+ [(\[]\d[\d.,]*[)\]]")
 _PRODUCT = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]+ ){1,5}(?:ref|sku|art|item|code|no|id)\.? ?#?\d[\d.,]*(?= *(?:[|;,]|$))", re.I)
+#: Share of function words from which a unit is prose.
+PROSE = 0.35
 #: Words up to which a unit is a list entry rather than a sentence.
 ENTRY = 10
 
@@ -121,7 +123,8 @@ def analyse(text: str | None) -> dict[str, float]:
     """
     zero = {"share": 0.0, "links": 0.0, "phrases": 0.0, "items": 0.0, "lists": 0.0, **{f"lag_{k}": 0.0 for k in LAGS}}
     units = _units(text or "")
-    total = sum(map(_solid, units))
+    sizes = [_solid(u) for u in units]
+    total = sum(sizes)
     if not total:
         return zero
     marked = _MARK.search(text) is not None
@@ -171,15 +174,16 @@ def analyse(text: str | None) -> dict[str, float]:
     often = 2 if entries >= 8 and entries > len(units) / 2 else OFTEN - 1
     same = Counter(units)
     kinds = dict.fromkeys(("links", "phrases", "items", "lists"), 0)
-    for u, digit, mark, (a, b), (c, d), parts in zip(units, digits, marks, spans, all_spans, split, strict=True):
-        size = _solid(u)
+    for u, size, digit, mark, (a, b), (c, d), parts in zip(units, sizes, digits, marks, spans, all_spans, split, strict=True):
         own = words[a:b]
         n = b - a
         func = sum(function[a:b]) / max(1, n)
+        ended = u.rstrip()[-1:] in ".!?"
+        if func >= PROSE and (n > ENTRY or ended) and not mark and ":" not in u and "=" not in u and hot.isdisjoint(own) and (not digit or sum(map(u.count, "([|;,")) < 4):
+            continue  # prose without repeated words meets none of the tests
         n_own = max(1, sum(content[a:b]))
         figures = _FIGURE.findall(_COUNT.sub(" ", u)) if digit else []
         counted = len(figures) > max(1, 0.2 * n) or any(figures)
-        ended = u.rstrip()[-1:] in ".!?"
         if d - c > 1 and func < 0.2 and not counted and not (6 <= d - c < 30 and ended) and sum(all_gap[i] <= LAGS[2] for i in range(c, d) if all_content[i]) >= RECUR * max(1, sum(all_content[c:d])):
             kinds["lists"] += size
             continue
@@ -203,7 +207,7 @@ def analyse(text: str | None) -> dict[str, float]:
                 continue
         entry = n <= ENTRY and not ended
         whole = sum(map(len, parts))
-        if len(parts) >= 8 and 4 <= whole / len(parts) <= 30 and func < 0.35 and sum(len(p) for p in parts if opening[" ".join(p.split()[:2])] > 1) >= 0.5 * whole:
+        if len(parts) >= 8 and 4 <= whole / len(parts) <= 30 and func < PROSE and sum(len(p) for p in parts if opening[" ".join(p.split()[:2])] > 1) >= 0.5 * whole:
             kinds["items"] += size
             continue
         if func < 0.2 and not counted and same[u] >= OFTEN - 1:
