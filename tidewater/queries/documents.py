@@ -10,7 +10,7 @@ from tidewater.operators import grids as gr
 from tidewater.operators import layout as la
 from tidewater.queries.registry import Registry
 from tidewater.queries.texts import _CHUNKS, chunks
-from tidewater.session import spread
+from tidewater.session import cut_lineage, spread
 from tidewater.sources import sinks
 from tidewater.sources.tables import first_rows, table
 from tidewater.streaming import streams
@@ -18,7 +18,18 @@ from tidewater.streaming import streams
 query = Registry()
 
 
+_MADE: dict[tuple[str, str], DataFrame] = {}
+
+
 def statements(spark: SparkSession, d: str) -> DataFrame:
+    """``_nested``, written once per application and folder: the operators read nested statements, they do not make them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MADE:
+        _MADE[key] = cut_lineage(_nested(spark, d))
+    return _MADE[key]
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
     """Orders as cost statements: return flag as category, line as item, status as stage, the part's parity as persona."""
     li = table(spark, d, "lineitem")
     stage = F.when(F.col("l_linestatus") == "O", "PDA").otherwise("FDA")

@@ -132,19 +132,6 @@ def prefixed_titles(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d, "title").select("id", tx.prefixed_title(F.col("title"), F.lit("Recap")).alias("title"))
 
 
-@query(
-    "document_links",
-    """
-SELECT doc_id, url, split_part(url, '?', 1) AS kept FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[a-z0-9./-]+)', 1)) AS url FROM documents WHERE text IS NOT NULL)
-""",
-)
-def document_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links in the texts, with only the query parameters of one prefix kept."""
-    t = table(spark, d, "documents").where("text is not null")
-    u = t.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(https?://[a-z0-9./-]+)"), F.lit(1))).alias("url"))
-    return u.select("doc_id", "url", tx.kept_parameters(F.col("url"), "p").alias("kept"))
-
-
 @query(
     "port_matches",
     """
@@ -159,8 +146,8 @@ def port_matches(spark: SparkSession, d: str) -> DataFrame:
     return j.select("s_suppkey", "n_name", tx.port_match(F.col("n_name"), F.col("s_name")).alias("how"))
 
 
-@query("reference_numbers", "SELECT id, imo_number, regexp_matches(coalesce(call_sign, ''), '^[A-Z0-9]{4,7}$') AS plain_call_sign FROM (SELECT id, arg_min(imo_number, loaded_at) AS imo_number, arg_min(call_sign, loaded_at) AS call_sign FROM vessels GROUP BY id)")
-def reference_numbers(spark: SparkSession, d: str) -> DataFrame:
+@query("call_signs", "SELECT id, imo_number, regexp_matches(coalesce(call_sign, ''), '^[A-Z0-9]{4,7}$') AS plain_call_sign FROM (SELECT id, arg_min(imo_number, loaded_at) AS imo_number, arg_min(call_sign, loaded_at) AS call_sign FROM vessels GROUP BY id)")
+def call_signs(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vessels").where("id is not null").groupBy("id").agg(F.min_by("imo_number", "loaded_at").alias("imo_number"), F.min_by("call_sign", "loaded_at").alias("call_sign"))
     return v.select("id", "imo_number", F.coalesce(F.col("call_sign").rlike("^[A-Z0-9]{4,7}$"), F.lit(False)).alias("plain_call_sign"))
 
@@ -182,7 +169,18 @@ def vector_ids(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", legacy.alias("legacy_id"), unique.alias("vector_id"))
 
 
-@query("question_parameters")
+def _first(text: str, patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{p}', 1), '')" for p in patterns) + ")"
+
+
+_INITCAP = "list_aggregate(list_transform(string_split({0}, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')"
+_PORT, _SHIP, _DATE = _first("q", ["port\\s+(\\w+)", "in\\s+(\\w+)\\s+port", "(\\w+)\\s+port"]), _first("q", ["ship\\s+(\\w+)", "(\\w+)\\s+ship"]), _first("q", ["(\\d{4}-\\d{2}-\\d{2})", "(\\d{2}/\\d{2}/\\d{4})", "(\\d{2}-\\d{2}-\\d{4})"])
+
+
+@query(
+    "question_parameters",
+    f"SELECT id, {_INITCAP.format(_PORT)} AS port, CASE WHEN NOT contains(q, 'vessel') THEN {_INITCAP.format(_SHIP)} END AS vessel, {_DATE} AS date FROM (SELECT id, lower(trim(arg_min(coalesce(content, ''), loaded_at))) AS q FROM chat_messages GROUP BY id)",
+)
 def question_parameters(spark: SparkSession, d: str) -> DataFrame:
     m = first_rows(table(spark, d, "chat_messages"), "id", ["content"])
     return m.select("id", tx.query_parameters(F.col("content")).alias("p")).select("id", "p.*")
