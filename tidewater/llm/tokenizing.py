@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from tidewater.session import widen
@@ -141,13 +142,15 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     Null and empty texts give an empty list, blank texts are encoded as they are.
     Each input row gives one row; rows with a null key too. Other columns are
-    dropped. Map-only.
+    dropped. Map-only. The vocabulary file is read where the driver runs and sent
+    to the executors.
     """
     at = path or os.path.join(TOKENIZERS, VOCABULARY)
+    df.sparkSession.sparkContext.addFile(at)  # executors need not have the folder
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(at, pattern)
+        v = vocabulary(SparkFiles.get(os.path.basename(at)), pattern)
         for batch in batches:
             flat: list[int] = []
             ends = [0]
