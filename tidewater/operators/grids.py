@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.operators import cargo as cg
-from tidewater.operators import ordered as od
 
 #: Fields of a packing list, in order of precedence, and the words of their headers, without punctuation (fixed values).
 HEADERS: dict[str, tuple[str, ...]] = {
@@ -98,8 +97,7 @@ def parse_items(cells: DataFrame) -> DataFrame:
     none = (dims["length_m"] <= 0) & (dims["width_m"] <= 0) & (dims["height_m"] <= 0)
     skipped = F.when(blank, "blank").when(is_totals(F.transform("_o", lambda x: x["value"])), "totals").when(none, "no dimensions")
     j = j.select("sheet_id", "r", cell("item_id").alias("_id"), cell("description").alias("description"), *[v.alias(k) for k, v in dims.items()], num("volume_m3").alias("_v"), cg.kilograms(num("net_weight_kg"), head("net_weight_kg")).alias("net_weight_kg"), cg.kilograms(num("gross_weight_kg"), head("gross_weight_kg")).alias("_g"), cg.flagged(cell("imo_flag")).alias("imo_flag"), skipped.alias("skipped"))
-    j = od.running_sum(j, ["sheet_id"], ["r"], F.col("skipped").isNull().cast("int"), "_rank")
-    rank = F.col("_rank")
+    rank = F.sum(F.col("skipped").isNull().cast("int")).over(W.partitionBy("sheet_id").orderBy("r"))  # a sheet's format bounds its rows to 2 ** 20
     product = F.col("length_m") * F.col("width_m") * F.col("height_m")
     return j.select(
         "sheet_id", "r", "skipped", F.coalesce("_id", F.format_string("ITEM-%03d", rank)).alias("item_id"), "description", "length_m", "width_m", "height_m",
