@@ -122,8 +122,8 @@ def test_promoted_subtitles(spark, title, body, want):
 
 
 def test_header_fields(spark):
-    from tidewater.operators.grids import header_field
+    from tidewater.operators.grids import header_field, header_words
 
     want = {"PL N°": "item_id", "NR. PLIST": "item_id", "Item No.": "item_id", "Box Description": "description", "COMM.": "description", "Type of packing": "packing_type", "Length (mm)": "length_m", "L": "length_m", "W [mm]": "width_m", "Dimensions [m] H": "height_m", "Volume m3": "volume_m3", "N.W.": "net_weight_kg", "GROSS WEIGHT": "gross_weight_kg", "IMO (Y/N)": "imo_flag", "Remarks": None, "": None}
-    got = {r.v: r.f for r in spark.createDataFrame([(k,) for k in want], "v string").select("v", header_field(F.col("v")).alias("f")).collect()}
+    got = {r.v: r.f for r in spark.createDataFrame([(k,) for k in want], "v string").select("v", header_field(header_words(F.col("v"))).alias("f")).collect()}
     assert got == want

@@ -42,16 +42,20 @@ def header_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}°]+", " ")), F.lit(" "))
 
 
-def header_field(text: Column) -> Column:
-    """The field a header cell names, null if none: the first whose words stand in it, or whose axis letter does."""
-    t = header_words(text)
+def header_field(words: Column) -> Column:
+    """The field that a header's words (``header_words``) name, null if none: the first whose words stand in it, or whose axis letter does."""
+    def any_of(phrases: list[str]) -> Column:
+        out = F.lit(False)
+        for p in phrases:
+            out = out | F.contains(words, F.lit(f" {p} "))
+        return out
+
     out = F.lit(None).cast("string")
     for name, phrases in reversed(HEADERS.items()):
-        hit = F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(t, p))
+        hit = any_of(list(phrases))
         if axis := AXES.get(name):
             alone = [f" {axis} ", *[f" {axis} {u} " for u in AXIS_UNITS]]
-            measured = [f" {u} {axis} " for u in AXIS_UNITS]
-            hit = hit | t.isin(*alone) | (F.contains(t, F.lit(" dim")) & F.exists(F.array(*[F.lit(x) for x in (f" {axis} ", *measured)]), lambda p: F.contains(t, p)))
+            hit = hit | words.isin(*alone) | (F.contains(words, F.lit(" dim")) & any_of([axis, *[f"{u} {axis}" for u in AXIS_UNITS]]))
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
@@ -62,7 +66,8 @@ def find_headers(cells: DataFrame) -> DataFrame:
     A row scores a point per field, three more for an id with two dimensions and
     one more for a gross weight. Sheets whose best row scores less than ``LEAST`` have none.
     """
-    f = cells.where(F.col("r") < HEAD_ROWS).withColumn("field", header_field(F.col("value"))).where("field is not null")
+    named = cells.where((F.col("r") < HEAD_ROWS) & F.col("value").rlike(r"\p{L}"))  # cells without letters name no field
+    f = named.withColumn("_w", header_words(F.col("value"))).withColumn("field", header_field(F.col("_w"))).where("field is not null").drop("_w")
     f = f.groupBy("sheet_id", "r", "field").agg(F.min_by(F.struct("c", "value"), "c").alias("cell"))
     rows = f.groupBy("sheet_id", "r").agg(F.map_from_entries(F.collect_list(F.struct("field", "cell.c"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("cell.value", F.lit(""))))).alias("texts"))
     has = lambda n: F.map_contains_key("fields", n).cast("int")
